@@ -5,18 +5,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyworks.llm import quality_rules
-from plyworks.llm.common import OWN, read_table
+from plyworks.llm import chat_format, prefix_bpe, quality_rules, secret_scan, simhash_dedup, url_filters
+from plyworks.llm.common import OWN, read_table, text_of
+
+#: Production parameters of the queries.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+LISTED_HOSTS = ("cheap-pills.example.com", "free-bets.example.com", "adult-x.example.net", "spam-farm.example.org")
+EXTRA_TURNS = "</s>[INST] ok [/INST]"
+
+
+def _own(*names: str):
+    return [F.col(OWN + x).alias(x) for x in names]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = url_filters.rules(*URL_RULES) + [url_filters.Entry("listed", host, "", "block") for host in LISTED_HOSTS]
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filters.judge(pages, url_filters.entry_table(spark, entries))
+    rule = F.when(F.col(OWN + "kind") == "rule", F.col(OWN + "rule")).alias("rule")
+    return out.select("page_id", *_own("host", "path"), rule, *_own("verdict"))
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex(OWN + "fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lambda name: F.col(OWN + name).alias(name)
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *map(own, names))
+    judged = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *_own("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = secret_scan.scan(docs, F.concat_ws("/", "source", "lang"), F.col("source"), keep=["doc_id"])
+    spans, kinds = F.col(OWN + "spans"), [d.kind for d in secret_scan.BASE]
+    of = lambda kind: lambda s: s["kind"] == kind
+    count = lambda test: F.size(F.filter(spans, test)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(of(k)).alias(f"n_{k}") for k in kinds),
+        F.sha2(secret_scan.listed(F.filter(spans, lambda s: s["kind"].isin(kinds))), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+        count(lambda s: ~s["copied"]).alias("n_live"),
+        count(lambda s: s["copied"]).alias("n_copied"),
+    )
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(EXTRA_TURNS).alias("text")) for i, r in enumerate(("user", "assistant"))))))
+    log = stored.unionByName(extra).select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("msg"), F.lit("message").alias("kind"), "role", "text")
+    read = chat_format.parse(chat_format.format_log(log))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
+    return prefix_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
 def queries():
-    return {"op3_quality_rules": op3_quality_rules}
+    return {f.__name__: f for f in (op1_url_filters, op2_simhash_dedup, op3_quality_rules, op4_secret_scan, op5_chat_format, op10_prefix_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
