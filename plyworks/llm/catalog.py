@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyworks.llm import chat_format, prefix_bpe, quality_rules, secret_scan, simhash_dedup, url_filters
-from plyworks.llm.common import OWN, read_table, text_of
+from plyworks.llm import chat_format, media_columns, prefix_bpe, quality_rules, repair_store, secret_scan, simhash_dedup, source_mix, token_rollup, url_filters
+from plyworks.llm.common import OWN, materialize, read_table, shared_dir, text_of
 
 #: Production parameters of the queries.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -69,6 +71,44 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return repair_store.read_shards(repair_store.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each sent twice: all documents come, all are revised to single blanks, and those labelled toxic go."""
+    counters = token_rollup.native_counters()
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    docs = token_rollup.counted(token_rollup.counted(docs, F.col("text"), counters, "first"), tidy, counters, "tidy").drop("text")
+    docs = materialize(docs, "token-counts")
+    toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    old, none = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang")], F.lit(None)
+    came = docs.select(F.lit("insert").alias("op"), "source", "lang", F.col("first").alias("counts"), none.cast("string").alias("old_source"), none.cast("string").alias("old_lang"), none.cast("map<string,bigint>").alias("old_counts"))
+    revised = docs.select(F.lit("revise").alias("op"), "source", "lang", F.col("tidy").alias("counts"), *old, F.col("first").alias("old_counts"))
+    went = docs.join(toxic, "doc_id", "left_semi").select(F.lit("delete").alias("op"), none.cast("string").alias("source"), none.cast("string").alias("lang"), none.cast("map<string,bigint>").alias("counts"), *old, F.col("tidy").alias("old_counts"))
+    store = token_rollup.Rollups(spark, f"{shared_dir(spark)}/plyworks/rollups-{uuid.uuid4().hex}")
+    for _ in range(2):
+        for batch, changes in (("came", came), ("revised", revised), ("went", went)):
+            store.commit(batch, changes)
+    return store.totals()
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, taken = source_mix.mix(read_table(spark, sf_dir, "documents"), F.array("source"))
+    sources = F.broadcast(plan.table([(s, plan.sizes[s], float(t)) for s, t in plan.targets.items()], "source string, source_size bigint, target double"))
+    joined = taken.join(sources, taken["pattern"][0].eqNullSafe(sources["source"]))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col(OWN + "copies")).alias("taken"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_columns.decode(media_columns.encode(read_table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.size("fingerprints"), F.sha2(F.array_join(F.transform("fingerprints", lambda x: x.cast("string")), ","), 256)).alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,7 +117,7 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash_dedup, op3_quality_rules, op4_secret_scan, op5_chat_format, op10_prefix_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op2_simhash_dedup, op3_quality_rules, op4_secret_scan, op5_chat_format, op6_repair_store, op7_token_rollup, op8_source_mix, op9_media_columns, op10_prefix_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
