@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyworks.llm import chat_format, media_columns, prefix_bpe, quality_rules, repair_store, secret_scan, simhash_dedup, source_mix, token_rollup, url_filters
+from plyworks.llm import chat_format, media_columns, oracles, prefix_bpe, quality_rules, repair_store, secret_scan, simhash_dedup, source_mix, token_rollup, url_filters
 from plyworks.llm.common import OWN, materialize, read_table, shared_dir, text_of
 
 #: Production parameters of the queries.
@@ -121,4 +121,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

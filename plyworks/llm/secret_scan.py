@@ -38,7 +38,7 @@ MORE = (
     Detector("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Detector("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Detector("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Detector("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----"),
+    Detector("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]{0,24}PRIVATE KEY-----"),
 )
 #: A value held by so many owners, or by so many repositories, is a copied example.
 OWNERS, REPOSITORIES = 3, 8
