@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ class File:
     path: str
     uri: str
     size: int
+    #: What Spark is given to read it: not encoded, and nothing in it taken for a pattern.
+    readable: str = ""
 
     @property
     def folder(self) -> str:
@@ -50,7 +53,7 @@ def listed(spark: SparkSession, pattern: str) -> list[File]:
     at = jvm.org.apache.hadoop.fs.Path(pattern)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
     files = [s for s in found if s.isFile()]
-    out = [File(s.getPath().toUri().getPath() if s.getPath().toUri().getScheme() in (None, "file") else str(s.getPath()), str(s.getPath().toUri().toString()), s.getLen()) for s in files]
+    out = [File(s.getPath().toUri().getPath() if s.getPath().toUri().getScheme() in (None, "file") else str(s.getPath()), str(s.getPath().toUri().toString()), s.getLen(), re.sub(r"([\[\]{}*?\\])", r"\\\1", str(s.getPath().toString()))) for s in files]
     return sorted(out, key=lambda f: f.path.encode())
 
 

@@ -65,7 +65,7 @@ def parse_header(raw: bytes, path: str = "") -> Info:
     found = list(struct.unpack_from(_LAYOUT[version], raw))
     name = found[2].split(b"\0")[0].decode("latin-1")
     kernel = found.pop(3) if version == 2 else None
-    k_scale = found.pop(14 - 1) if version == 2 else None
+    k_scale = found.pop(14) if version == 2 else None
     cells, n_features, buckets, lines, unique, train, valid, tbskip, evalpos, holdout, lam, pool = found[3:]
     return Info(magic.decode(), version, name, kernel, cells, n_features, buckets, lines, unique, train, valid, tbskip, evalpos, holdout, lam, k_scale, pool, size)
 

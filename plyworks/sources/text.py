@@ -31,7 +31,7 @@ def read_lines(spark: SparkSession, files: list[File], v: Variant, group_key: st
         raise ValueError(f"splits must be of {UNIT} bytes at least")
     table = files_table(spark, files, v, group_key)
     table = table.select("file_idx", _plain(F.col("uri")).alias("__uri"), "qual_hash", "first_unit")
-    raw = spark.read.option("lineSep", "\n").text(sorted({f.uri for f in files}))
+    raw = spark.read.option("lineSep", "\n").text(sorted({f.readable for f in files}))
     raw = raw.select("value", _plain(F.col("_metadata.file_path")).alias("__uri"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"))
     rows = raw.join(F.broadcast(table) if len(files) <= BROADCAST_FILES else table, "__uri")
     order = F.shiftleft(F.col("first_unit") + F.floor(F.col("__start") / UNIT), 33) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
