@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from plyworks.llm.common import OWN, worker_state
 
 #: Bounds of a worker's caches; what doesn't fit is computed again.
 PIECES, STRETCHES, PAIRS, LONGEST_CACHED = 200_000, 300_000, 500_000, 64
+#: Slots of the table in which pairs of tokens are looked up by whole arrays, as a power of two, and pieces that share an array.
+SLOTS, TOGETHER = 20, 8192
 #: Texts in which white space other than single inner blanks touches a blank or an end are split as one stretch.
 UNEVEN = r" \s|\s |^\s|\s$"
 
@@ -38,6 +41,7 @@ class Vocabulary:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.bytes_of_text = {str(rank): token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.by_last: dict[int, list[int]] = {}
         lengths: dict[int, set[int]] = {}
         for token in self.ranks:
@@ -50,9 +54,103 @@ class Vocabulary:
                 self.parts[rank] = pair = self._last_merge(token)
                 self.merged[pair] = rank
         self.valid: dict[tuple[int, int], bool] = {}
+        self._trie()
+        self.slot_keys = np.full(1 << SLOTS, 0xFFFFFFFF, dtype=np.uint32)
+        self.slot_fits = np.zeros(1 << SLOTS, dtype=bool)
         self.pieces: dict[str, str] = {}
         self.stretches: dict[str, str] = {}
 
+    def _trie(self) -> None:
+        """Transitions by state and byte, and the token that a state spells or -1. State 0 is dead, 1 the root."""
+        nodes: dict[tuple[int, int], int] = {}
+        ends = {}
+        for token, rank in self.ranks.items():
+            at = 1
+            for byte in token:
+                at = nodes.setdefault((at, byte), len(nodes) + 2)
+            ends[at] = rank
+        self.next = np.zeros((len(nodes) + 2, 256), dtype=np.int32)
+        edges = np.array([(a, b, c) for (a, b), c in nodes.items()])
+        self.next[edges[:, 0], edges[:, 1]] = edges[:, 2]
+        self.spelt = np.full(len(nodes) + 2, -1, dtype=np.int32)
+        self.spelt[list(ends)] = list(ends.values())
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """may_follow() of whole arrays: a table of slots first, each distinct pair that isn't in its slot by itself."""
+        keys = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+        slots = (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+        out = self.slot_fits[slots]
+        missing = np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(missing):
+            new, back = np.unique(keys[missing], return_inverse=True)
+            fits = np.array([self.may_follow(k >> 16, k & 0xFFFF) for k in new.tolist()])
+            out[missing] = fits[back]
+            slots = (new * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+            _, first = np.unique(slots, return_index=True)
+            self.slot_keys[slots[first]], self.slot_fits[slots[first]] = new[first], fits[first]
+        return out
+
+    def last_tokens(self, pieces: list[bytes]) -> np.ndarray:
+        """extend() for every prefix of many pieces, the longest first, at once: a row for each, column n for the prefix of n bytes."""
+        lengths = np.array([len(x) for x in pieces])
+        width = int(lengths[0])
+        data = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in pieces), np.uint8).reshape(len(pieces), width)
+        states = np.ones((len(pieces), width), dtype=np.int32)
+        last = np.zeros((len(pieces), width + 1), dtype=np.int32)
+        for at in range(1, width + 1):
+            n = int(np.searchsorted(-lengths, -at, side="right"))
+            now = states[:n, :at] = self.next[states[:n, :at], data[:n, at - 1, None]]
+            token = self.spelt[now]
+            row, start = np.nonzero(token >= 0)
+            token = token[row, start]
+            fits = start == 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self._fit(last[row[inner], start[inner]], token[inner])
+            last[row[fits], at] = token[fits]
+        return last
+
+    def learn(self, pieces: list[str]) -> None:
+        """Puts many short pieces into the cache."""
+        whole = self.ranks.get
+        rest = []
+        for text in pieces:
+            rank = whole(data := text.encode())
+            if rank is None:
+                rest.append((data, text))
+            else:
+                self.pieces[text] = str(rank)
+        rest.sort(key=lambda x: -len(x[0]))
+        size = self.sizes
+        for i in range(0, len(rest), TOGETHER):
+            part = rest[i : i + TOGETHER]
+            for (data, text), last in zip(part, self.last_tokens([x for x, _ in part]).tolist()):
+                out, at = [], len(data)
+                while at:
+                    out.append(str(last[at]))
+                    at -= size[last[at]]
+                self.pieces[text] = " ".join(out[::-1])
+
+    def encode_all(self, texts: list[str]) -> list[str]:
+        """encode() of many texts: what they have that the caches lack is learned first, so that the rest is lookups."""
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        if len(self.stretches) > STRETCHES:
+            self.stretches.clear()
+        rough = [not t or self.uneven(t) is not None for t in texts]
+        even = [None if r else t.split(" ") for r, t in zip(rough, texts)]
+        new = [s for s in set().union(*(x[1:] for x in even if x)).difference(self.stretches) if len(s) <= LONGEST_CACHED]
+        split = [self.split_text(" " + s) for s in new]
+        other = [self.split_text(x[0] if x else t) for x, t in zip(even, texts)]
+        self.learn([p for p in set().union(*split, *other).difference(self.pieces) if len(p) <= LONGEST_CACHED])
+        known, stretches = self.pieces, self.stretches
+        for s, pieces in zip(new, split):
+            stretches[s] = " ".join(map(known.__getitem__, pieces)) if len(s) < LONGEST_CACHED else " ".join([known.get(p) or self.piece(p) for p in pieces])
+        out = []
+        for words, pieces in zip(even, other):
+            first = " ".join([known.get(p) or self.piece(p) for p in pieces])
+            out.append(" ".join([first, *[stretches.get(w) or self.after_blank(w) for w in words[1:]]]) if words and len(words) > 1 else first)
+        return out
+
     def _last_merge(self, token: bytes) -> tuple[int, int]:
         """The two tokens whose merge makes the token."""
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -224,8 +322,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
                 n, shas, decoded, arrays = [], [], [], []
-                for x in batch.column(len(columns)):
-                    said = v.encode(x.as_py() or "")
+                texts = [x or "" for x in batch.column(len(columns)).to_pylist()]
+                for said in v.encode_all(texts):
                     n.append(said.count(" ") + 1 if said else 0)
                     shas.append(hashlib.sha256(said.encode()).hexdigest())
                     decoded.append(hashlib.sha256(v.decode(said)).hexdigest())
