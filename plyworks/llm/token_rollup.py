@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ def native_counters() -> dict[str, callable]:
 
 def tokenizer_counter(path: str):
     """A counter for a file of the tokenizers library, for use beside the native ones."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
