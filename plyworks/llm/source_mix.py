@@ -163,18 +163,17 @@ class Plan:
         self._fill(rows)
 
     def _fill(self, rows: DataFrame) -> None:
-        """One document at a time that fits the gap behind a pattern's last interval, the largest first."""
+        """One document at a time that fits the gap behind a pattern's last interval, the largest first; in the end the least that is too large, if that comes nearer."""
         self.extra: dict[int, list[int]] = {}
-        for _ in range(FILLS):
+        for last in [False] * FILLS + [True]:
             now = [(k, list(self.patterns[c["p"]][0]), c["threshold"], c["gap"], self.extra.get(k, [])) for k, c in enumerate(self.cuts) if c["last"] and c["gap"] > 0]
             if not now:
                 break
             cuts = F.broadcast(self.table(now, "k int, pattern array<string>, threshold bigint, gap bigint, extra array<bigint>"))
-            fits = rows.join(cuts, rows["pattern"].eqNullSafe(cuts["pattern"])).where("hash >= threshold and size > 0 and size <= gap and not array_contains(extra, hash)")
-            best = fits.groupBy("k").agg(F.max(F.struct("size", "hash")).alias("best")).collect()
-            if not best:
-                break
-            for r in best:
+            left = rows.join(cuts, rows["pattern"].eqNullSafe(cuts["pattern"])).where("hash >= threshold and size > 0 and not array_contains(extra, hash)")
+            one = F.struct("size", "hash")
+            best = F.min(F.when(F.col("size").between(F.col("gap") + 1, 2 * F.col("gap") - 1), one)) if last else F.max(F.when(F.col("size") <= F.col("gap"), one))
+            for r in left.groupBy("k").agg(best.alias("best")).where("best is not null").collect():
                 self.cuts[r["k"]]["gap"] -= r["best"]["size"]
                 self.extra.setdefault(r["k"], []).append(r["best"]["hash"])
 
