@@ -12,7 +12,7 @@ from plyworks.functions.lines import fnv1a_of
 from plyworks.variants import Variant
 
 GROUP_KEYS = ("rel", "path", "basename")
-#: Files are laid out in units of this many bytes for ordinals; splits must not be smaller.
+#: Files are laid out in units of at most this many bytes for ordinals.
 UNIT = 1 << 20
 
 
@@ -89,12 +89,19 @@ def qualifier(f: File, v: Variant, group_key: str = "rel") -> str:
     return f.path if group_key == "path" else f.basename
 
 
+def unit_of(spark: SparkSession) -> int:
+    """The bytes of a unit, a power of two that no split is smaller than, but a file's last."""
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    least = min(size(spark.conf.get(f"spark.sql.files.{x}")) for x in ("maxPartitionBytes", "openCostInBytes"))
+    return min(UNIT, 1 << max(0, least.bit_length() - 1))
+
+
 def files_table(spark: SparkSession, files: list[File], v: Variant, group_key: str = "rel") -> DataFrame:
     """(file_idx, path, uri, qual_hash, first_unit): first_unit is where the file starts if all are laid end to end in units."""
-    rows, unit = [], 0
+    rows, at, unit = [], 0, unit_of(spark)
     for i, f in enumerate(files):
-        rows.append((i, f.path, f.uri, fnv1a_of((qualifier(f, v, group_key) + ":").encode()), unit))
-        unit += f.size // UNIT + 1
-    if unit >= 1 << 30:
-        raise ValueError("the files exceed the ordinals' range of a pebibyte")
+        rows.append((i, f.path, f.uri, fnv1a_of((qualifier(f, v, group_key) + ":").encode()), at))
+        at += f.size // unit + 1
+    if at >= 1 << 30:
+        raise ValueError(f"the files exceed the ordinals' range of 2^30 units of {unit} bytes")
     return spark.createDataFrame(rows, "file_idx int, path string, uri string, qual_hash bigint, first_unit bigint")

@@ -7,6 +7,7 @@ in version 2 K, and the pool's length; then the pool of 16-bit features, and 19
 from __future__ import annotations
 
 import math
+import os
 import struct
 from dataclasses import dataclass
 
@@ -119,7 +120,7 @@ class PackedPart(InputPartition):
         self.first, self.count = first, count
 
 
-def _bad(records: np.ndarray, pool: np.ndarray, info: Info) -> str | None:
+def _bad(records: np.ndarray, info: Info) -> str | None:
     if (records["off"] < 0).any() or (records["end"] < records["off"]).any() or (records["end"] > info.pool).any():
         return "a sample lies outside the pool"
     if (records["bucket"] >= info.buckets).any():
@@ -133,8 +134,6 @@ class PackedReader(DataSourceReader):
     def __init__(self, path: str, variant: str | None, rows: int):
         self.path, self.rows = path, rows
         self.info = read_header(path)
-        import os
-
         check(self.info, get(variant or self.info.name), os.path.getsize(path), path)
 
     def partitions(self):
@@ -148,7 +147,7 @@ class PackedReader(DataSourceReader):
         with open(self.path, "rb") as f:
             f.seek(info.header + 2 * info.pool + RECORD.itemsize * part.first)
             records = np.frombuffer(f.read(RECORD.itemsize * part.count), RECORD)
-            if wrong := _bad(records, None, info):
+            if wrong := _bad(records, info):
                 raise ValueError(f"{self.path}: {wrong}")
             low = int(records["off"].min(initial=info.pool))
             f.seek(info.header + 2 * low)

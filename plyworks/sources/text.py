@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyworks.functions.lines import as_bytes
-from plyworks.sources.discovery import UNIT, File, files_table
+from plyworks.sources.discovery import File, files_table, unit_of
 from plyworks.variants import Variant
 
 #: Lines of this many bytes and more are errors.
@@ -26,15 +26,12 @@ def read_lines(spark: SparkSession, files: list[File], v: Variant, group_key: st
     It has the unit in which the line's split starts, counted over all files, and the line's place in its task. Splits of one
     file that share a task come in order, so nothing has to be counted beforehand.
     """
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB") or 0) if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB").isdigit() else None
-    if split is not None and split < UNIT:
-        raise ValueError(f"splits must be of {UNIT} bytes at least")
     table = files_table(spark, files, v, group_key)
     table = table.select("file_idx", _plain(F.col("uri")).alias("__uri"), "qual_hash", "first_unit")
     raw = spark.read.option("lineSep", "\n").text(sorted({f.readable for f in files}))
     raw = raw.select("value", _plain(F.col("_metadata.file_path")).alias("__uri"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"))
     rows = raw.join(F.broadcast(table) if len(files) <= BROADCAST_FILES else table, "__uri")
-    order = F.shiftleft(F.col("first_unit") + F.floor(F.col("__start") / UNIT), 33) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    order = F.shiftleft(F.col("first_unit") + F.floor(F.col("__start") / unit_of(spark)), 33) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
     return rows.select("file_idx", order.alias("ord"), as_bytes(F.col("value")).alias("line"), "qual_hash")
 
 
