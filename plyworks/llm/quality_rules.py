@@ -127,5 +127,10 @@ def judge(docs: DataFrame, text: str = "text", table=THRESHOLDS) -> DataFrame:
 
 
 def keep(docs: DataFrame, text: str = "text", table=THRESHOLDS) -> DataFrame:
-    """The rows that pass, with the caller's columns alone."""
-    return judge(docs, text, table).where(F.col(_own("kept"))).select(*docs.columns)
+    """The rows that pass, with the caller's columns alone.
+
+    A plain filter would be pushed below the projections and there repeat them for every mention of a count; a row is instead
+    generated as often as it is kept, once or never, from counts that are computed once.
+    """
+    once = F.explode(F.when(F.col(_own("kept")), F.array(F.lit(True)))).alias(_own("once"))
+    return judge(docs, text, table).select(*docs.columns, once).drop(_own("once"))
