@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,8 +22,9 @@ from plyworks.llm.common import OWN, materialize, worker_state
 
 MAGIC, SHARD_IDS = b"RPG1", 1 << 18
 #: A rule costs three words in the file, so a pair of fewer occurrences doesn't pay. Rounds end when they no longer do.
-LEAST_COUNT, ROUNDS, RULES_A_ROUND, LEAST_GAIN = 4, 10, 2048, 0.01
-WORDS = 200_000
+LEAST_COUNT, ROUNDS, RULES_A_ROUND, LEAST_GAIN = 4, 10, 2048, 0.04
+#: Bounds of a worker's caches of words and of their letters.
+WORDS, STEMS = 500_000, 700_000
 
 
 def _independent(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def pack(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
 
 
 class Shard:
-    """A packed shard. Symbols' ends in ids are summed once, so a stretch is found by bisection and only its symbols are expanded."""
+    """A packed shard. Symbols' ends in ids are summed once, so a stretch is found by bisection and only its symbols are expanded, from the rules' expansions laid end to end."""
 
     def __init__(self, blob: bytes):
         magic, self.base, docs, n_rules, n_symbols, self.n_ids = struct.unpack_from("<4sIIIIQ", blob)
@@ -127,46 +129,106 @@ class Shard:
             raise ValueError("a shard of another length")
         take = lambda n, i: np.frombuffer(blob, "<u4", n, at + 4 * i)
         self.starts, self.rules = take(docs + 1, 0), take(2 * n_rules, docs + 1).reshape(-1, 2)
-        self.lengths, self.symbols = take(n_rules, docs + 1 + 2 * n_rules), take(n_symbols, docs + 1 + 3 * n_rules)
+        self.lengths, self.symbols = take(n_rules, docs + 1 + 2 * n_rules).astype(np.int64), take(n_symbols, docs + 1 + 3 * n_rules)
+        self.spelt = expand(np.arange(n_rules, dtype=np.int64) + self.base, self.rules, self.base)
+        self.places = np.cumsum(self.lengths) - self.lengths
         sizes = np.ones(n_symbols, dtype=np.int64)
         big = self.symbols >= self.base
         sizes[big] = self.lengths[self.symbols[big] - self.base]
         self.ends = np.cumsum(sizes)
 
+    def _spell(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The ids of symbols that end at these places."""
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+        big = symbols >= self.base
+        out[ends[~big] - 1] = symbols[~big]
+        rule = symbols[big] - np.uint32(self.base)
+        sizes = self.lengths[rule]
+        before = np.cumsum(sizes) - sizes
+        step = np.arange(sizes.sum())
+        out[np.repeat(ends[big] - sizes - before, sizes) + step] = self.spelt[np.repeat(self.places[rule] - before, sizes) + step]
+        return out
+
     def ids(self, start: int, end: int) -> np.ndarray:
         """The ids [start, end) of the shard."""
         if start >= end:
             return np.zeros(0, dtype=np.uint32)
         a, b = np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, end, side="left") + 1
         skipped = int(self.ends[a - 1]) if a else 0
-        return expand(self.symbols[a:b], self.rules, self.base)[start - skipped : end - skipped]
+        return self._spell(self.symbols[a:b], self.ends[a:b] - skipped)[start - skipped : end - skipped]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers spell bytes: printable ones of Latin-1 as they are, the others in order from U+0100 on."""
+    plain = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordEncoder:
-    """A tokenizer whose words never reach over a blank or a line end: words are encoded once and their ids kept, up to a bound."""
+    """A tokenizer whose words never reach over a blank or a line end: words are encoded once and their ids kept, up to a bound.
+
+    Most words are letters, with or without marks behind them. The tokenizer parts the two and lowers case, so such words share
+    what its model says of their letters. All others go through the whole tokenizer.
+    """
+
+    SHAPE = r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]{0,8})"
 
     def __init__(self, path: str):
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.base = self.tokenizer.get_vocab_size()
+        self.tokenizer, self.known, self.stems, self.marks = Tokenizer.from_file(path), {}, {}, {"": b""}
+        self.model, self.base, self.spelling, self.shape = self.tokenizer.model, self.tokenizer.get_vocab_size(), _byte_letters(), re.compile(self.SHAPE).fullmatch
+        for word, stem, mark in (("Abc,", "abc", ","), ("Élan###", "élan", "###"), ("straße", "straße", "")):
+            if self.bytes_of([word])[0] != self.stem(stem) + self.bytes_of([mark])[0]:
+                raise ValueError("the tokenizer doesn't part words as expected")
+
+    def bytes_of(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stem(self, letters: str) -> bytes:
+        """Ids of normalized lower-case letters, straight from the model."""
+        spelt = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.spelling)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: list[str]) -> None:
+        known, stems, marks, shape, other = self.known, self.stems, self.marks, self.shape, []
+        for w in words:
+            parts = shape(w)
+            if parts is None:
+                other.append(w)
+                continue
+            letters, mark = parts.groups()
+            lower = letters.lower()
+            # Beyond the Latin blocks, and where normalizing or lowering makes marks, the whole tokenizer is asked.
+            if not letters.isascii() and not (max(letters) < "\u0250" and lower.isalpha() and is_normalized("NFC", letters)):
+                other.append(w)
+                continue
+            ids = stems.get(lower)
+            if ids is None:
+                ids = stems[lower] = self.stem(lower)
+            if mark not in marks:
+                marks[mark] = self.bytes_of([mark])[0]
+            known[w] = ids + marks[mark]
+        for i in range(0, len(other), 4096):
+            known.update(zip(other[i : i + 4096], self.bytes_of(other[i : i + 4096])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > WORDS:
             self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = struct.pack(f"<{len(found.ids)}I", *found.ids)
+        if len(self.stems) + len(self.marks) > STEMS:
+            self.stems.clear()
+            self.marks = {"": b""}
+        self.learn(list(set().union(*split).difference(self.known)))
         ids = self.known.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
