@@ -274,11 +274,16 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance:
     return rows.join(named, OWN + "fp").select("doc_id", OWN + "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The document of the least id of each component, once if its row is repeated; rows without an id stay."""
-    found = materialize(dedup(docs, text, doc_id), "simhash-found")
+def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Of docs the rows that keep_one keeps, where found has the (doc_id, component_id) of each row."""
+    found = materialize(found, "dedup-found")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(OWN + "gone")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(OWN + "again"))
     left = docs.join(gone, F.col(doc_id) == F.col(OWN + "gone"), "left_anti")
     once = left.join(again, F.col(doc_id) == F.col(OWN + "again"), "left_anti")
     return once.unionByName(left.join(again, F.col(doc_id) == F.col(OWN + "again"), "left_semi").dropDuplicates([doc_id]))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The document of the least id of each component, once if its row is repeated; rows without an id stay."""
+    return keep_first(docs, dedup(docs, text, doc_id), doc_id)
