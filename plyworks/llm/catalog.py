@@ -77,12 +77,10 @@ def op6_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.read_shards(repair_store.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches, each sent twice: all documents come, all are revised to single blanks, and those labelled toxic go."""
-    counters = token_rollup.native_counters()
+def _rolled_up(spark: SparkSession, sf_dir: str, counters: dict, revision) -> DataFrame:
+    """Three batches, each sent twice: all documents come, all are revised, and those labelled toxic go."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    docs = token_rollup.counted(token_rollup.counted(docs, F.col("text"), counters, "first"), tidy, counters, "tidy").drop("text")
+    docs = token_rollup.counted(token_rollup.counted(docs, F.col("text"), counters, "first"), revision, counters, "tidy").drop("text")
     docs = materialize(docs, "token-counts")
     toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     old, none = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang")], F.lit(None)
@@ -108,6 +106,19 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = F.concat_ws(":", F.size("fingerprints"), F.sha2(F.array_join(F.transform("fingerprints", lambda x: x.cast("string")), ","), 256)).alias("feature")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of built-in functions; documents are revised to single blanks."""
+    return _rolled_up(spark, sf_dir, token_rollup.native_counters(), F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+
+
+def op7_tokenizer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with both tokenizers' counts beside them; the revision drops each document's first word."""
+    import public_tokenizers as p
+
+    real = {"word_bpe_49k/1": token_rollup.word_counter(p.path("word_bpe_49k.json")), "byte_bpe_50k/1": token_rollup.byte_counter(p.path("byte_bpe_50k.tiktoken"), p.PATTERN)}
+    return _rolled_up(spark, sf_dir, token_rollup.native_counters() | real, F.regexp_replace("text", r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", ""))
+
+
 
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -117,7 +128,12 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash_dedup, op3_quality_rules, op4_secret_scan, op5_chat_format, op6_repair_store, op7_token_rollup, op8_source_mix, op9_media_columns, op10_prefix_bpe)}
+    return {f.__name__: f for f in (op1_url_filters, op1_url_lists, op2_simhash_dedup, op3_quality_rules, op4_secret_scan, op5_chat_format, op6_repair_store, op7_token_rollup, op8_source_mix, op9_media_columns, op10_prefix_bpe)}
+
+
+def rollup_queries():
+    """Rows for each source, language and tokenizer, which SQL has no form for; tests hold them against brute force."""
+    return {"op7_tokenizer_rollup": op7_tokenizer_rollup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,6 +48,35 @@ def tokenizer_counter(path: str):
     return lambda text: count(text.cast("string"))
 
 
+def _counter(count):
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        said = texts.fillna("").tolist()
+        return pd.Series([n for i in range(0, len(said), 256) for n in count(said[i : i + 256])], dtype="int64")
+
+    return lambda text: run(text.cast("string"))
+
+
+def word_counter(path: str):
+    """A counter for a tokenizer file whose words never reach over a blank: each word is encoded once."""
+    def count(texts: list[str]) -> list[int]:
+        from plyworks.llm.repair_store import word_encoder
+
+        return [len(x) // 4 for x in word_encoder(path).encode(texts)]
+
+    return _counter(count)
+
+
+def byte_counter(path: str, pattern: str):
+    """A counter for a file of byte-level ranks."""
+    def count(texts: list[str]) -> list[int]:
+        from plyworks.llm.prefix_bpe import vocabulary
+
+        return [x.count(" ") + 1 if x else 0 for x in vocabulary(path, pattern).encode_all(texts)]
+
+    return _counter(count)
+
+
 def counted(docs: DataFrame, text: Column, counters: Mapping[str, callable], name: str) -> DataFrame:
     """docs with a map<tokenizer, tokens> of that name."""
     return docs.withColumn(name, F.create_map(*(x for k, f in counters.items() for x in (F.lit(k), f(text)))))
