@@ -1,8 +1,9 @@
 """Media columns: bytes stored as WAV, read back, and fingerprinted by pairs of spectral peaks.
 
 Bytes become 8-bit mono samples of a WAV file. A short-time Fourier transform of what is read back gives peaks, bins that are
-the greatest of their neighbourhood in time and frequency; each peak is paired with the next few ones, and a pair is stored as
-one long: time, both bins, and the time between.
+the greatest of their neighbourhood in time and frequency. Frames overlap by three quarters, so every sample has weight in
+some frame and a shift moves the frames by half a hop at most. Each peak is paired with all peaks of later frames over a span, and a pair is stored as one long: time, both bins,
+and the time between.
 
 Results for odd input: null and empty texts are 64 bytes of zero; silence has no peaks; equal texts have equal values; very
 long payloads are transformed in blocks of frames; an empty table gives an empty result.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import wave
 import zlib
 
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from plyworks.llm.common import OWN
 
 UNIT, RATE = 64, 8000
-FRAME, HOP, BLOCK = 256, 256, 4096
-#: A peak is the greatest within so many bins to either side and one frame; pairs reach over FAN peaks and SPAN frames at most.
-BINS, FAN, SPAN = 8, 3, 63
+FRAME, HOP, BLOCK = 256, 64, 4096
+#: A peak is the greatest within so many bins to either side and one frame; pairs reach over SPAN frames, to any number of peaks.
+BINS, FAN, SPAN = 8, math.inf, 63
+#: Peaks whose partners are listed at once.
+PEAKS = 4096
 
 
 def store(payload: bytes) -> bytes:
@@ -91,11 +95,13 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprint(media: bytes) -> np.ndarray:
     """Time-coded pairs of peaks of a stored file: time << 32 | bin << 20 | other bin << 8 | frames between."""
     t, f = peaks(np.frombuffer(load(media), np.uint8))
-    found = []
-    for k in range(1, FAN + 1):
-        gap = t[k:] - t[:-k]
-        near = gap <= SPAN
-        found.append((t[:-k] << 32 | f[:-k] << 20 | f[k:] << 8 | gap)[near])
+    first, last = np.searchsorted(t, t, side="right"), np.searchsorted(t, t + SPAN, side="right")
+    found = [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(t), PEAKS):
+        n = (last - first)[i : i + PEAKS]
+        left = np.repeat(np.arange(i, i + len(n)), n)
+        right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[i : i + PEAKS], n)
+        found.append(t[left] << 32 | f[left] << 20 | f[right] << 8 | t[right] - t[left])
     return np.sort(np.concatenate(found)).astype(np.int64)
 
 
@@ -131,10 +137,11 @@ def decode(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) ->
 
     def run(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, 128):
-                batch = whole.slice(i, 128)
-                found = list(zip(*(one(x.as_py()) for x in batch.column(len(columns)))))
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(columns))] + [pa.array(x, kind) for x, kind in zip(found, kinds)], names=[*columns, *names])
+            for i in range(0, whole.num_rows, 32):
+                batch = whole.slice(i, 32)
+                *found, prints = zip(*(one(x.as_py()) for x in batch.column(len(columns))))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prints)]), pa.int32()), pa.array(np.concatenate(prints)))
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(columns))] + [pa.array(x, kind) for x, kind in zip(found, kinds)] + [lists], names=[*columns, *names])
 
     return stored.select(*columns, "media").mapInArrow(run, schema)
