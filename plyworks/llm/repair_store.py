@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from plyworks.llm.common import OWN, materialize, worker_state
 
 MAGIC, SHARD_IDS = b"RPG1", 1 << 18
-#: A rule costs three words in the file, so a pair of fewer occurrences doesn't pay. Rounds end when they no longer do.
-LEAST_COUNT, ROUNDS, RULES_A_ROUND, LEAST_GAIN = 4, 10, 2048, 0.04
+#: A rule costs three words in the file, so a pair of fewer occurrences doesn't pay. Rounds end when no pair pays.
+LEAST_COUNT, RULES_A_ROUND = 4, 2048
 #: Bounds of a worker's caches of words and of their letters.
 WORDS, STEMS = 500_000, 700_000
 
@@ -42,15 +42,20 @@ def _independent(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.sort(pairs[chosen])
 
 
+def _places(at: np.ndarray) -> np.ndarray:
+    """Of ascending numbers the place of each in its run of successive ones."""
+    return np.arange(len(at)) - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k stands for the two symbols of its row and is itself symbol base + k."""
     seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)]
     top = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST_COUNT:
-            break
+    while len(seq) >= 2 * LEAST_COUNT:
         keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ordered = np.sort(keys)
+        # In a run of one symbol its pair counts, and is taken, at every other place.
+        same = np.flatnonzero(seq[1:] == seq[:-1])
+        ordered = np.sort(np.delete(keys, same[_places(same) % 2 == 1]))
         edges = np.flatnonzero(ordered[1:] != ordered[:-1])
         starts = np.concatenate([[0], edges + 1])
         counts = np.diff(np.append(starts, len(ordered)))
@@ -66,18 +71,15 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         which = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
         hit = chosen[which] == keys[at]
         at, which = at[hit], which[hit]
-        # In a run of one symbol its pair is taken at every other place.
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1] + 1]), np.arange(len(at)), 0))
+        run = _places(at)
         at, which = at[run % 2 == 0], which[run % 2 == 0]
         new = seq.copy()
         new[at] = top + which
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
-        before, seq = len(seq), new[keep]
+        seq = new[keep]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         top += len(chosen)
-        if before - len(seq) < LEAST_GAIN * before:
-            break
     return seq, np.concatenate(rules)
 
 
