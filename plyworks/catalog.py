@@ -165,7 +165,7 @@ def holdout_split(spark, sf_dir):
 
 def loader_stats(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
-    out = S.stats(parsed, S.samples(parsed, FILIPINO, LABELS), LABELS)
+    out = S.stats(parsed, FILIPINO, LABELS)
     return out.select(*(F.col(c).cast("bigint").alias(c) for c in out.columns))
 
 
@@ -214,11 +214,9 @@ def acc_bound(spark, sf_dir):
 
 
 def quantize(spark, sf_dir):
-    """W1 of the arithmetic network: the driver's quantizer beside the column functions'."""
+    """W1 of the arithmetic network as the quantizer has it; a row for each weight of a model."""
     small = networks.quantize(test_network())
-    rows = spark.range(small.w1.size).select((F.col("id") / H).cast("bigint").alias("f"), (F.col("id") % H).alias("j"))
-    w = ((F.col("f") * 31 + F.col("j") * 17) % 61 - 30) / 100
-    return rows.select("f", "j", L.clip_i16(w * networks.SCALE).cast("bigint").alias("w1"))
+    return spark.createDataFrame([(f, j, int(x)) for f, row in enumerate(small.w1) for j, x in enumerate(row)], "f bigint, j bigint, w1 bigint")
 
 
 def grad_step(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyworks.functions import lines as L
@@ -20,25 +20,36 @@ def _tallies() -> list:
     ]
 
 
-def _distinct(parsed: DataFrame, value, name: str, by: list[str]) -> DataFrame:
-    """Distinct values by group, in two steps, so that no group's values meet in one task."""
-    return parsed.select(*by, value.alias(name)).where(F.col(name).isNotNull()).distinct().groupBy(*by).agg(F.count("*").alias(name))
+def _game() -> Column:
+    return F.when(F.col("accepted"), F.col("gid"))
+
+
+def _position() -> Column:
+    return F.when(F.col("accepted") & ~F.col("tb_skip"), F.col("key"))
 
 
 def games_by_file(parsed: DataFrame) -> DataFrame:
     """(file_idx, games): game ids are unique within a file only; lines of tablebase positions count."""
-    return _distinct(parsed, F.when(F.col("accepted"), F.col("gid")), "games", ["file_idx"])
+    return parsed.groupBy("file_idx").agg(F.count_distinct(_game()).alias("games")).where("games > 0")
 
 
 def unique_by_file(parsed: DataFrame) -> DataFrame:
-    return _distinct(parsed, F.when(F.col("accepted") & ~F.col("tb_skip"), F.col("key")), "unique", ["file_idx"])
+    return parsed.groupBy("file_idx").agg(F.count_distinct(_position()).alias("unique")).where("unique > 0")
+
+
+def unique(parsed: DataFrame) -> int:
+    """The number of positions over all files."""
+    return parsed.agg(F.count_distinct(_position())).first()[0]
 
 
 def per_file(parsed: DataFrame, files: DataFrame | None = None, unique: bool = True) -> DataFrame:
-    """(file_idx, games, lines, unique, malformed, tbskip, nogameid); files without lines have zeros. Without `unique` keys aren't even parsed, and the column is null."""
-    out = parsed.groupBy("file_idx").agg(*_tallies()).join(games_by_file(parsed), "file_idx", "left")
-    if unique:
-        out = out.join(unique_by_file(parsed), "file_idx", "left")
+    """(file_idx, games, lines, unique, malformed, tbskip, nogameid); files without lines have zeros. Without `unique` keys aren't even parsed, and the column is null.
+
+    Lines are parsed once. Spark tags each line's distinct values and reduces them by (file, tag, value) first, so that no
+    file's values meet in one task.
+    """
+    distinct = [F.count_distinct(_position()).alias("unique")] if unique else []
+    out = parsed.groupBy("file_idx").agg(*_tallies(), F.count_distinct(_game()).alias("games"), *distinct)
     if files is not None:
         out = files.select("file_idx").join(out, "file_idx", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -47,14 +58,11 @@ def per_file(parsed: DataFrame, files: DataFrame | None = None, unique: bool = T
 
 
 def total(parsed: DataFrame, unique: bool = True) -> DataFrame:
-    """One row of the same counters and files and dedup; unique counts positions once over all files."""
-    none = parsed.sparkSession.range(1).select()
-    out = none.join(parsed.agg(*_tallies(), F.count_distinct("file_idx").alias("files")))
-    out = out.join(parsed.select("file_idx", F.when(F.col("accepted"), F.col("gid")).alias("gid")).where("gid is not null").distinct().agg(F.count("*").alias("games")))
-    if unique:
-        keys = parsed.select(F.when(F.col("accepted") & ~F.col("tb_skip"), F.col("key")).alias("key")).where("key is not null").distinct()
-        out = out.join(keys.agg(F.count("*").alias("unique")))
-    else:
+    """One row of the same counters and files and dedup; unique counts positions once over all files. Lines are parsed once."""
+    distinct = [F.count_distinct(_position()).alias("unique")] if unique else []
+    # Of the pairs of file and game those without a game don't count.
+    out = parsed.agg(*_tallies(), F.count_distinct("file_idx").alias("files"), F.count_distinct(F.when(_game().isNotNull(), F.col("file_idx")), _game()).alias("games"), *distinct)
+    if not unique:
         out = out.withColumn("unique", F.lit(None).cast("bigint"))
     return out.select("files", "games", "lines", "unique", *_COUNTS[1:], L.dedup_ratio(F.col("lines"), F.col("unique")).alias("dedup"))
 

@@ -20,7 +20,8 @@ def parse(rows: DataFrame, v: Variant) -> DataFrame:
     board is the 64 squares. For Black to move a chess line's outcome and evaluation, which are White's, are turned round.
     """
     kept = [c for c in rows.columns if c != "line"]
-    df = rows.withColumn("p", L.fields(F.col("line"), v.max_tokens))
+    # Generated, not projected: the optimizer would push filters on what follows below a projection, and split lines again in each.
+    df = rows.select("*", F.explode(F.array(L.fields(F.col("line"), v.max_tokens))).alias("p"))
     token = lambda i: F.get("p", F.lit(i))
     if v.chess:
         df = chess.with_position(df.withColumn("fen", L.fen_part(F.col("line"))), "fen")

@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plyworks.functions import chess, evaluation
 from plyworks.functions import lines as L
+from plyworks.operators import ranges
 from plyworks.variants import Variant
 
 HOLDOUT = 20
@@ -89,20 +89,27 @@ def with_offsets(rows: DataFrame) -> DataFrame:
 
     Ranges of first_ord are summed first, and only their sums meet; within a range offsets are a running sum.
     """
-    spread = rows.repartitionByRange("first_ord").withColumns({"__part": F.spark_partition_id(), "__n": F.size("features").cast("bigint")})
-    sums = spread.groupBy("__part").agg(F.sum("__n").alias("__sum"))
-    before = sums.withColumn("__before", F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).select("__part", "__before")
-    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("first_ord").rowsBetween(Window.unboundedPreceding, 0))
-    out = spread.withColumn("__upto", upto).join(before, "__part")
-    end = F.col("__before") + F.col("__upto")
-    return out.withColumns({"off": end - F.col("__n"), "end": end}).drop("__part", "__n", "__before", "__upto")
-
-
-def stats(parsed: DataFrame, found: DataFrame, how: Labels = Labels()) -> DataFrame:
-    """One row: lines, unique, train, valid, tbskip, evalpos, holdout."""
-    lines = first_lines(parsed, how.max_lines).agg(F.count("*").alias("lines"), F.count_if("tb_skip").alias("tbskip"))
-    sides = found.agg(F.count("*").alias("unique"), F.count_if(~F.col("is_valid")).alias("train"), F.count_if("is_valid").alias("valid"), F.count_if(F.col("n_eval") > 0).alias("evalpos"))
-    return lines.join(sides).select("lines", "unique", "train", "valid", "tbskip", "evalpos", F.lit(how.every).alias("holdout"))
+    return ranges.with_end(rows, F.size("features"), "first_ord").withColumn("off", F.col("end") - F.size("features"))
+
+
+def stats(parsed: DataFrame, v: Variant, how: Labels = Labels()) -> DataFrame:
+    """One row: lines, unique, train, valid, tbskip, evalpos, holdout; lines are parsed once.
+
+    Whether a position is of a tablebase depends on its key alone, so its lines are counted in the groups of the others.
+    """
+    side = group_hash(v) % how.every == 0
+    groups = first_lines(parsed, how.max_lines).select("key", "tb_skip", "ord", "eval", side.alias("side")).groupBy("key", "tb_skip")
+    found = groups.agg(F.count("*").alias("n"), F.count("eval").alias("n_eval"), F.min_by("side", "ord").alias("is_valid"))
+    kept, n = ~F.col("tb_skip"), F.coalesce(F.sum("n"), F.lit(0))
+    return found.agg(
+        n.alias("lines"),
+        F.count_if(kept).alias("unique"),
+        F.count_if(kept & ~F.col("is_valid")).alias("train"),
+        F.count_if(kept & F.col("is_valid")).alias("valid"),
+        F.coalesce(F.sum(F.when(F.col("tb_skip"), F.col("n"))), F.lit(0)).alias("tbskip"),
+        F.count_if(kept & (F.col("n_eval") > 0)).alias("evalpos"),
+        F.lit(how.every).alias("holdout"),
+    )
 
 
 def summary(row, lam: float) -> str:

@@ -60,16 +60,17 @@ def count_packed(path: str, v: Variant) -> Row:
 
 
 def count_text(spark: SparkSession, globs, v: Variant, unique: bool = True) -> Row:
-    """Counts text files. Lines are parsed once for both tables of counters; unique positions are always exact."""
+    """Counts text files. The files' counters are one pass, and the totals their sums; unique positions over several files, always exact, take a pass of keys alone."""
     files = discovery.expand(spark, globs)
     lines = text.read_lines(spark, files, v)
     cut = {r["file_idx"] for r in text.first_long(lines).collect()}
     parsed = parse(text.until_long(lines) if cut else lines, v)
     table = discovery.files_table(spark, files, v)
     each = {r["file_idx"]: r for r in inventory.per_file(parsed, table, unique).collect()}
-    whole = inventory.total(parsed, unique).first()
+    whole = {c: sum(r[c] for r in each.values()) for c in ("games", "lines", "malformed", "tbskip", "nogameid")}
+    positions = None if not unique else inventory.unique(parsed) if len(each) > 1 else sum(r["unique"] for r in each.values())
     rows = [FileRow(f.path, each[i]["games"], each[i]["lines"], each[i]["unique"], each[i]["malformed"], each[i]["tbskip"], "a line is too long" if i in cut else "") for i, f in enumerate(files)]
-    return Row(v.name, TEXT, len(files), whole["games"], whole["lines"], whole["unique"], whole["malformed"], whole["tbskip"], whole["nogameid"], perFile=rows)
+    return Row(v.name, TEXT, len(files), whole["games"], whole["lines"], positions, whole["malformed"], whole["tbskip"], whole["nogameid"], perFile=rows)
 
 
 def total(rows: list[Row]) -> Row:

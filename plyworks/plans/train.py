@@ -37,7 +37,7 @@ def load_text(spark: SparkSession, globs, v: Variant, how: S.Labels, group_key:
     files = discovery.expand(spark, globs)
     parsed = parse(text.without_long(text.read_lines(spark, files, v, group_key)), v)
     found = S.samples(parsed, v, how, tables).persist()
-    stats = S.stats(parsed, found, how).first().asDict()
+    stats = S.stats(parsed, v, how).first().asDict()
     if not stats["train"]:
         raise ValueError(f"no training samples; check the variant ({v.name})")
     return Corpus(found, stats, how.k(v))

@@ -24,7 +24,8 @@ def selfplay(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(dark & (draw < 10 + k % 9 * 10), F.substring(F.lit(GLYPHS), (draw % 10 + 1).cast("int"), F.lit(1))).otherwise(".")
 
     board = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint")), glyph), "")
-    rows = base.withColumn("board", board)
+    # Generated, so that filters stay above the board.
+    rows = base.select("*", F.explode(F.array(board)).alias("board"))
     o, n, p = F.col("o"), F.col("n"), F.col("p")
     line = F.concat_ws(
         " ",
