@@ -12,23 +12,30 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyworks.llm.common import OWN, materialize, worker_state
+from plyworks.llm.common import materialize, worker_state
+from plyworks.llm.lexicon import Lexicon, gathered, of_units, sizes_of_units, strings
+from plyworks.llm.lexicon import pieces as cut_batches
 
 MAGIC, SHARD_IDS = b"RPG1", 1 << 18
 #: A rule costs three words in the file, so a pair of fewer occurrences doesn't pay. Rounds end when no pair pays.
 LEAST_COUNT, RULES_A_ROUND = 4, 2048
-#: Bounds of a worker's caches of words and of their letters.
-WORDS, STEMS = 500_000, 700_000
+#: Slots in which pairs are counted, as a power of two.
+SLOTS = 18
+#: The bound of a worker's cache of units.
+UNITS = 900_000
 
 
 def _independent(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The most frequent pairs of which no symbol is the left of one and the right of another; sorted. Their occurrences can't overlap, but those of a pair of equals."""
+    """The most frequent pairs of which no symbol is the left of one and the right of another, the most frequent first, each in a slot of its own. Their occurrences can't overlap, but those of a pair of equals."""
     top = np.argsort(-counts, kind="stable")[: 2 * RULES_A_ROUND]
     lefts, rights, chosen = set(), set(), []
     for k, (a, b) in zip(top.tolist(), zip((pairs[top] >> np.uint64(32)).tolist(), (pairs[top] & np.uint64(0xFFFFFFFF)).tolist())):
@@ -39,7 +46,13 @@ def _independent(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         chosen.append(k)
         if len(chosen) == RULES_A_ROUND:
             break
-    return np.sort(pairs[chosen])
+    found = pairs[chosen]
+    return found[np.sort(np.unique(_slots(found), return_index=True)[1])]
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A slot of 2 ** SLOTS for each pair."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
 def _places(at: np.ndarray) -> np.ndarray:
@@ -48,38 +61,49 @@ def _places(at: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k stands for the two symbols of its row and is itself symbol base + k."""
+    """(symbols, rules): rule k stands for the two symbols of its row and is itself symbol base + k.
+
+    A pair of old symbols never grows more frequent, so places whose pair is too rare are left alone from then on, and a round
+    looks only at the others and at those beside new symbols. Counts by slot tell rare pairs before the others are sorted.
+    """
     seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)]
-    top = base
-    while len(seq) >= 2 * LEAST_COUNT:
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    top, at = base, np.arange(max(0, len(ids) - 1))
+    while True:
+        keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         # In a run of one symbol its pair counts, and is taken, at every other place.
-        same = np.flatnonzero(seq[1:] == seq[:-1])
-        ordered = np.sort(np.delete(keys, same[_places(same) % 2 == 1]))
-        edges = np.flatnonzero(ordered[1:] != ordered[:-1])
-        starts = np.concatenate([[0], edges + 1])
+        counted = np.ones(len(at), dtype=bool)
+        same = np.flatnonzero(seq[at] == seq[at + 1])
+        counted[same[_places(at[same]) % 2 == 1]] = False
+        slot = _slots(keys)
+        often = np.bincount(slot[counted], minlength=1 << SLOTS)[slot] >= LEAST_COUNT
+        at, keys, slot, counted = at[often], keys[often], slot[often], counted[often]
+        ordered = np.sort(keys[counted])
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.append(starts, len(ordered)))
         often = counts >= LEAST_COUNT
         if not often.any():
             break
         chosen = _independent(ordered[starts[often]], counts[often])
-        left = np.zeros(top, dtype=bool)
-        right = np.zeros(top, dtype=bool)
-        left[chosen >> np.uint64(32)] = True
-        right[chosen & np.uint64(0xFFFFFFFF)] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        which = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[which] == keys[at]
-        at, which = at[hit], which[hit]
-        run = _places(at)
-        at, which = at[run % 2 == 0], which[run % 2 == 0]
-        new = seq.copy()
-        new[at] = top + which
-        keep = np.ones(len(seq), dtype=bool)
-        keep[at + 1] = False
-        seq = new[keep]
+        rule = np.full(1 << SLOTS, -1, dtype=np.int64)
+        rule[_slots(chosen)] = np.arange(len(chosen))
+        which = rule[slot]
+        hit = counted & (which >= 0) & (chosen[which] == keys)
+        place, which = at[hit], which[hit]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        seq[place] = (top + which).astype(np.uint32)
         top += len(chosen)
+        touched = np.zeros(len(seq) + 1, dtype=bool)
+        touched[place] = touched[place + 1] = True
+        keep = np.ones(len(seq), dtype=bool)
+        keep[place + 1] = False
+        now = np.cumsum(keep) - 1
+        seq = seq[keep]
+        mark = np.zeros(len(seq) + 1, dtype=bool)
+        mark[now[at[~(touched[at] | touched[at + 1])]]] = True
+        new = now[place]
+        mark[new] = mark[new - 1] = True
+        # The last symbol begins no pair; neither does what stands before the first.
+        at = np.flatnonzero(mark[: max(0, len(seq) - 1)])
     return seq, np.concatenate(rules)
 
 
@@ -170,69 +194,78 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """A tokenizer whose words never reach over a blank or a line end: words are encoded once and their ids kept, up to a bound.
+    """A tokenizer that parts letters from marks, lowers case and never reaches over a blank or a line end: the units of texts are encoded once and their ids kept, up to a bound.
 
-    Most words are letters, with or without marks behind them. The tokenizer parts the two and lowers case, so such words share
-    what its model says of their letters. All others go through the whole tokenizer.
+    Letters go straight to its model; all other units go through the whole tokenizer.
     """
 
-    SHAPE = r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]{0,8})"
-
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems, self.marks = Tokenizer.from_file(path), {}, {}, {"": b""}
-        self.model, self.base, self.spelling, self.shape = self.tokenizer.model, self.tokenizer.get_vocab_size(), _byte_letters(), re.compile(self.SHAPE).fullmatch
-        for word, stem, mark in (("Abc,", "abc", ","), ("Élan###", "élan", "###"), ("straße", "straße", "")):
-            if self.bytes_of([word])[0] != self.stem(stem) + self.bytes_of([mark])[0]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.base, self.spelling = self.tokenizer.model, self.tokenizer.get_vocab_size(), _byte_letters()
+        self.units, self.added = Lexicon(self._learn, np.uint32), [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        for text in ("Abc, abc", "Élan### élan", "a(b)\n\nc's", "straße!? 'll"):
+            if self.encode_column(pa.array([text]))[1].tolist() != self._ids([text])[0]:
                 raise ValueError("the tokenizer doesn't part words as expected")
 
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def stem(self, letters: str) -> bytes:
-        """Ids of normalized lower-case letters, straight from the model."""
-        spelt = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.spelling)
-        ids = [t.id for t in self.model.tokenize(spelt)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def learn(self, words: list[str]) -> None:
-        known, stems, marks, shape, other = self.known, self.stems, self.marks, self.shape, []
-        for w in words:
-            parts = shape(w)
-            if parts is None:
-                other.append(w)
-                continue
-            letters, mark = parts.groups()
-            lower = letters.lower()
-            # Beyond the Latin blocks, and where normalizing or lowering makes marks, the whole tokenizer is asked.
-            if not letters.isascii() and not (max(letters) < "\u0250" and lower.isalpha() and is_normalized("NFC", letters)):
-                other.append(w)
-                continue
-            ids = stems.get(lower)
-            if ids is None:
-                ids = stems[lower] = self.stem(lower)
-            if mark not in marks:
-                marks[mark] = self.bytes_of([mark])[0]
-            known[w] = ids + marks[mark]
-        for i in range(0, len(other), 4096):
-            known.update(zip(other[i : i + 4096], self.bytes_of(other[i : i + 4096])))
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for i in range(0, len(texts), 4096) for x in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+
+    def _spelt(self, unit: str) -> str | None:
+        """How the model is given a unit of letters; None where the whole tokenizer is asked."""
+        letters = unit[1:] if unit[0] in " \n" else unit
+        if letters.isascii():
+            return letters if letters.isalpha() else None
+        lower = letters.lower()
+        # Beyond the Latin blocks, and where normalizing or lowering makes marks, the whole tokenizer is asked.
+        if max(letters) < "\u0250" and letters.isalpha() and lower.isalpha() and is_normalized("NFC", letters):
+            return lower.encode().decode("latin-1").translate(self.spelling)
+        return None
+
+    def _learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, spelt = self.model.tokenize, list(map(self._spelt, units))
+        found = [x and [t.id for t in tokenize(x)] for x in spelt]
+        other = [k for k, x in enumerate(found) if x is None]
+        for k, ids in zip(other, self._ids([units[k] for k in other])):
+            found[k] = ids
+        return np.array(list(map(len, found)), dtype=np.int64), np.array(list(chain.from_iterable(found)), dtype=np.uint32)
+
+    def _marked(self, texts: pa.Array) -> np.ndarray:
+        """The texts that hold the string of a token of the tokenizer's own, in whatever case; it is a token for the whole tokenizer only."""
+        out = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            out |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(out)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of a column of texts without nulls."""
+        self.units.bound(UNITS)
+        marked = self._marked(texts)
+        if not len(marked):
+            return of_units(self.units, texts, lower=True)
+        plain = np.setdiff1d(np.arange(len(texts)), marked)
+        sizes, ids = of_units(self.units, texts.take(pa.array(plain)), lower=True)
+        whole = self._ids(texts.take(pa.array(marked)).to_pylist())
+        sizes = np.concatenate([sizes, np.array(list(map(len, whole)), dtype=np.int64)])
+        back = np.argsort(np.concatenate([plain, marked]))
+        return gathered(np.concatenate([ids, np.array(list(chain.from_iterable(whole)), dtype=np.uint32)]), (np.cumsum(sizes) - sizes)[back], sizes[back])
+
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        self.units.bound(UNITS)
+        out, marked = sizes_of_units(self.units, texts, lower=True), self._marked(texts)
+        if len(marked):
+            out[marked] = list(map(len, self._ids(texts.take(pa.array(marked)).to_pylist())))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > WORDS:
-            self.known.clear()
-        if len(self.stems) + len(self.marks) > STEMS:
-            self.stems.clear()
-            self.marks = {"": b""}
-        self.learn(list(set().union(*split).difference(self.known)))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        sizes, ids = self.encode_column(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -247,33 +280,40 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, text: str = "text"
 
     Parts are ranges of ids in ascending order; before counts the ids of earlier shards of the part.
     """
-    import pyarrow as pa
-
     names = ["part", "before", "doc_ids", "n_ids", "blob"]
 
     def run(batches):
         from pyspark import TaskContext
 
         encoder, part, before = word_encoder(path), TaskContext.get().partitionId(), 0
-        held, keys, size, end = [], [], 0, struct.pack("<I", end_id)
+        held, sizes, keys, size = [], [], [], 0
 
         def shard():
-            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
-            ids = np.frombuffer(b"".join(held), "<u4")
-            blob = pack(ids, starts, max(encoder.base, end_id + 1))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=names)
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
-                for key, ids in zip(rows.column(0).to_pylist(), encoder.encode([x or "" for x in rows.column(1).to_pylist()])):
-                    held.append(ids + end)
-                    keys.append(key)
-                    size += len(ids) // 4 + 1
+            n = np.concatenate(sizes)
+            ids = np.concatenate(held)
+            blob = pack(ids, np.concatenate([[0], np.cumsum(n)]), max(encoder.base, end_id + 1))
+            lists = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(keys))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), lists, pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=names)
+
+        for whole in batches:
+            for rows in cut_batches(whole, 1):
+                n, ids = encoder.encode_column(strings(rows.column(1)))
+                # The end id goes behind the ids of each document.
+                ids, n, at = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1, 0
+                ends = np.cumsum(n)
+                while at < len(n):
+                    # A shard ends with the first document that fills it.
+                    start = int(ends[at - 1]) if at else 0
+                    to = min(len(n), int(np.searchsorted(ends, start + shard_ids - size, side="left")) + 1)
+                    held.append(ids[start : ends[to - 1]])
+                    sizes.append(n[at:to])
+                    keys.append(rows.column(0).slice(at, to - at))
+                    size += len(held[-1])
+                    at = to
                     if size >= shard_ids:
                         yield shard()
                         before += size
-                        held, keys, size = [], [], 0
+                        held, sizes, keys, size = [], [], [], 0
         if held:
             yield shard()
 
@@ -284,8 +324,6 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, text: str = "text"
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the shards' bytes."""
-    import pyarrow as pa
-
     totals = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     first, base = 0, {}
     for part in sorted(totals):
