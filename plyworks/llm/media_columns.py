@@ -2,8 +2,8 @@
 
 Bytes become 8-bit mono samples of a WAV file. A short-time Fourier transform of what is read back gives peaks, bins that are
 the greatest of their neighbourhood in time and frequency. Frames overlap by three quarters, so every sample has weight in
-some frame and a shift moves the frames by half a hop at most. Each peak is paired with all peaks of later frames over a span, and a pair is stored as one long: time, both bins,
-and the time between.
+some frame and a shift moves the frames by half a hop at most. Each peak is paired with all peaks of later frames over a span, and
+a pair is stored as one long: time, both bins, and the time between.
 
 Results for odd input: null and empty texts are 64 bytes of zero; silence has no peaks; equal texts have equal values; very
 long payloads are transformed in blocks of frames; an empty table gives an empty result.
@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyworks.llm.common import OWN
+from plyworks.llm.common import OWN, materialize
 
 UNIT, RATE = 64, 8000
 FRAME, HOP, BLOCK = 256, 64, 4096
 #: A peak is the greatest within so many bins to either side and one frame; pairs reach over SPAN frames, to any number of peaks.
-BINS, FAN, SPAN = 8, math.inf, 63
+BINS, FAN, SPAN = 8, math.inf, 16
 #: Peaks whose partners are listed at once.
 PEAKS = 4096
 
@@ -122,6 +122,11 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     return docs.select(*columns, F.col(text).cast("string").cast("binary").alias(OWN + "raw")).mapInArrow(run, schema)
 
 
+def store_documents(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """encode(), written to the shared folder and read back."""
+    return materialize(encode(docs, text, keep), "media")
+
+
 def decode(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """The columns in keep with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and fingerprints array<bigint>, all from the media column."""
     import pyarrow as pa
