@@ -15,17 +15,24 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyworks.llm.common import OWN, worker_state
+from plyworks.llm.lexicon import Lexicon, Ragged, gathered, of_units, sizes_of_units, spans, strings
+from plyworks.llm.lexicon import pieces as cut_batches
 
 #: Bounds of a worker's caches; what doesn't fit is computed again.
-PIECES, STRETCHES, PAIRS, LONGEST_CACHED = 200_000, 300_000, 500_000, 64
+PIECES, STRETCHES, PAIRS, LONGEST_CACHED = 600_000, 800_000, 500_000, 64
 #: Slots of the table in which pairs of tokens are looked up by whole arrays, as a power of two, and pieces that share an array.
 SLOTS, TOGETHER = 20, 8192
-#: Texts in which white space other than single inner blanks touches a blank or an end are split as one stretch.
-UNEVEN = r" \s|\s |^\s|\s$"
+# Fixed value: the pattern for which texts may be cut in front of single blanks and line ends, and between letters and marks.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with white space at an end, or beside a blank or line end, are split whole.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+UNEVEN = rf"[ \n]{WHITE}|{WHITE}[ \n]|^{WHITE}|{WHITE}$"
 
 
 class Vocabulary:
@@ -36,12 +43,10 @@ class Vocabulary:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.split_text = regex.compile(pattern).findall
-        self.uneven = regex.compile(UNEVEN).search
+        self.split_text, self.cuts = regex.compile(pattern).findall, pattern == CUT_PATTERN
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.bytes_of_text = {str(rank): token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.by_last: dict[int, list[int]] = {}
         lengths: dict[int, set[int]] = {}
         for token in self.ranks:
@@ -55,10 +60,12 @@ class Vocabulary:
                 self.merged[pair] = rank
         self.valid: dict[tuple[int, int], bool] = {}
         self._trie()
-        self.slot_keys = np.full(1 << SLOTS, 0xFFFFFFFF, dtype=np.uint32)
+        self.slot_keys = np.full(1 << SLOTS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         self.slot_fits = np.zeros(1 << SLOTS, dtype=bool)
-        self.pieces: dict[str, str] = {}
-        self.stretches: dict[str, str] = {}
+        every = range(max(self.bytes_of) + 1)
+        self.sizes = np.array([len(self.bytes_of.get(k, b"")) for k in every])
+        self.as_text, self.as_bytes = pa.array([str(k) for k in every]), pa.array([self.bytes_of.get(k, b"") for k in every], pa.binary())
+        self.pieces, self.stretches = Lexicon(self._learn_pieces), Lexicon(self._learn_stretches)
 
     def _trie(self) -> None:
         """Transitions by state and byte, and the token that a state spells or -1. State 0 is dead, 1 the root."""
@@ -77,17 +84,17 @@ class Vocabulary:
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """may_follow() of whole arrays: a table of slots first, each distinct pair that isn't in its slot by itself."""
-        keys = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
-        slots = (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
+        keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
+        slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
+        slots = slot(keys)
         out = self.slot_fits[slots]
         missing = np.flatnonzero(self.slot_keys[slots] != keys)
         if len(missing):
             new, back = np.unique(keys[missing], return_inverse=True)
-            fits = np.array([self.may_follow(k >> 16, k & 0xFFFF) for k in new.tolist()])
+            fits = np.array([self.may_follow(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()])
             out[missing] = fits[back]
-            slots = (new * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS)
-            _, first = np.unique(slots, return_index=True)
-            self.slot_keys[slots[first]], self.slot_fits[slots[first]] = new[first], fits[first]
+            slots, first = np.unique(slot(new), return_index=True)
+            self.slot_keys[slots], self.slot_fits[slots] = new[first], fits[first]
         return out
 
     def last_tokens(self, pieces: list[bytes]) -> np.ndarray:
@@ -109,47 +116,100 @@ class Vocabulary:
             last[row[fits], at] = token[fits]
         return last
 
-    def learn(self, pieces: list[str]) -> None:
-        """Puts many short pieces into the cache."""
-        whole = self.ranks.get
+    def _unwound(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of many pieces, the longest first: from each one's end back by the stored last tokens, all pieces at once."""
+        last, at = self.last_tokens(pieces), np.array([len(x) for x in pieces])
+        sizes, steps, active = np.zeros(len(pieces), dtype=np.int64), [], np.arange(len(pieces))
+        while len(active):
+            token = last[active, at[active]]
+            steps.append((active, token))
+            sizes[active] += 1
+            at[active] -= self.sizes[token]
+            active = active[at[active] > 0]
+        ends = np.cumsum(sizes)
+        ids = np.empty(int(ends[-1]), dtype=np.int32)
+        for back, (rows, token) in enumerate(steps):
+            ids[ends[rows] - 1 - back] = token
+        return sizes, ids
+
+    def _learn_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        whole, sizes, found = self.ranks.get, np.zeros(len(pieces), dtype=np.int64), {}
         rest = []
-        for text in pieces:
+        for k, text in enumerate(pieces):
             rank = whole(data := text.encode())
-            if rank is None:
-                rest.append((data, text))
+            if rank is not None:
+                found[k] = rank
+            elif len(data) <= 4 * LONGEST_CACHED:
+                rest.append((data, k))
             else:
-                self.pieces[text] = str(rank)
+                found[k] = unwind(self, self.prefixes(data))
         rest.sort(key=lambda x: -len(x[0]))
-        size = self.sizes
+        table = Ragged()
+        row = np.zeros(len(pieces), dtype=np.int64)
         for i in range(0, len(rest), TOGETHER):
             part = rest[i : i + TOGETHER]
-            for (data, text), last in zip(part, self.last_tokens([x for x, _ in part]).tolist()):
-                out, at = [], len(data)
-                while at:
-                    out.append(str(last[at]))
-                    at -= size[last[at]]
-                self.pieces[text] = " ".join(out[::-1])
+            first = table.add(*self._unwound([data for data, _ in part]))
+            row[[k for _, k in part]] = np.arange(first, first + len(part))
+        if found:
+            lists = [x if isinstance(x, list) else [x] for x in found.values()]
+            first = table.add(np.array(list(map(len, lists))), np.array([i for x in lists for i in x], dtype=np.int32))
+            row[list(found)] = np.arange(first, first + len(lists))
+        return table.take(row)
+
+    def _split_stretch(self, stretch: str) -> list[str]:
+        """The pieces of a unit of an even text: one, for letters with or without a blank in front."""
+        if stretch.isascii() and (stretch.isalpha() or (stretch[0] == " " and stretch[1:].isalpha())):
+            return [stretch]
+        return self.split_text(stretch)
+
+    def _learn_stretches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.pieces.of_lists(list(map(self._split_stretch, stretches)))
+
+    def _bounded(self) -> None:
+        self.stretches.bound(STRETCHES)
+        self.pieces.bound(PIECES)
+
+    def _uneven(self, texts: pa.Array) -> np.ndarray:
+        return np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)) if self.cuts else np.arange(len(texts))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of a column of texts without nulls."""
+        self._bounded()
+        uneven = self._uneven(texts)
+        if not len(uneven):
+            sizes, ids = of_units(self.stretches, texts)
+        else:
+            even = np.setdiff1d(np.arange(len(texts)), uneven)
+            some = self.pieces.of_lists([self.split_text(x) for x in texts.take(pa.array(uneven)).to_pylist()])
+            rest = of_units(self.stretches, texts.take(pa.array(even))) if len(even) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            sizes = np.concatenate([some[0], rest[0]])
+            back = np.argsort(np.concatenate([uneven, even]))
+            sizes, ids = gathered(np.concatenate([some[1], rest[1]]), (np.cumsum(sizes) - sizes)[back], sizes[back])
+        return np.concatenate([[0], np.cumsum(sizes)]), ids
+
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        self._bounded()
+        uneven = self._uneven(texts)
+        out = np.zeros(len(texts), dtype=np.int64)
+        even = np.setdiff1d(np.arange(len(texts)), uneven)
+        if len(even):
+            out[even] = sizes_of_units(self.stretches, texts.take(pa.array(even)) if len(uneven) else texts)
+        if len(uneven):
+            out[uneven] = self.pieces.of_lists([self.split_text(x) for x in texts.take(pa.array(uneven)).to_pylist()])[0]
+        return out
+
+    def joined(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The ids of each text, decimal, joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.as_text.take(pa.array(ids))), " ")
+
+    def decoded(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The bytes that the ids of each text stand for."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.as_bytes.take(pa.array(ids))), b"")
 
     def encode_all(self, texts: list[str]) -> list[str]:
-        """encode() of many texts: what they have that the caches lack is learned first, so that the rest is lookups."""
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        if len(self.stretches) > STRETCHES:
-            self.stretches.clear()
-        rough = [not t or self.uneven(t) is not None for t in texts]
-        even = [None if r else t.split(" ") for r, t in zip(rough, texts)]
-        new = [s for s in set().union(*(x[1:] for x in even if x)).difference(self.stretches) if len(s) <= LONGEST_CACHED]
-        split = [self.split_text(" " + s) for s in new]
-        other = [self.split_text(x[0] if x else t) for x, t in zip(even, texts)]
-        self.learn([p for p in set().union(*split, *other).difference(self.pieces) if len(p) <= LONGEST_CACHED])
-        known, stretches = self.pieces, self.stretches
-        for s, pieces in zip(new, split):
-            stretches[s] = " ".join(map(known.__getitem__, pieces)) if len(s) < LONGEST_CACHED else " ".join([known.get(p) or self.piece(p) for p in pieces])
-        out = []
-        for words, pieces in zip(even, other):
-            first = " ".join([known.get(p) or self.piece(p) for p in pieces])
-            out.append(" ".join([first, *[stretches.get(w) or self.after_blank(w) for w in words[1:]]]) if words and len(words) > 1 else first)
-        return out
+        """The ids of each text, decimal, joined by a space."""
+        return self.joined(*self.encode_column(pa.array(texts, pa.string()))).to_pylist()
 
     def _last_merge(self, token: bytes) -> tuple[int, int]:
         """The two tokens whose merge makes the token."""
@@ -216,43 +276,9 @@ class Vocabulary:
             add(token)
         return last
 
-    def piece(self, text: str) -> str:
-        """The ids of one piece, decimal, joined by a space."""
-        data = text.encode()
-        whole = self.ranks.get(data)
-        if whole is not None:
-            out = str(whole)
-        else:
-            last = self.prefixes(data)
-            out = " ".join(map(str, unwind(self, last)))
-        if len(text) <= LONGEST_CACHED:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[text] = out
-        return out
-
     def encode(self, text: str) -> str:
         """The ids of a whole text, decimal, joined by a space."""
-        if not text:
-            return ""
-        if self.uneven(text):
-            return self.stretch(text)
-        # The pattern starts a piece at every blank between two other characters, so what lies between blanks is split by itself.
-        first, *rest = text.split(" ")
-        known = self.stretches.get
-        return " ".join([self.stretch(first), *[known(x) or self.after_blank(x) for x in rest]])
-
-    def after_blank(self, text: str) -> str:
-        out = self.stretch(" " + text)
-        if len(text) <= LONGEST_CACHED:
-            if len(self.stretches) >= STRETCHES:
-                self.stretches.clear()
-            self.stretches[text] = out
-        return out
-
-    def stretch(self, text: str) -> str:
-        known = self.pieces.get
-        return " ".join([known(x) or self.piece(x) for x in self.split_text(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.bytes_of_text.__getitem__, ids.split(" "))) if ids else b""
@@ -311,25 +337,17 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """The columns in keep with n_tokens, ids_sha256 and decoded_sha256 of the bytes the ids decode to, and ids array<int> if asked for."""
-    import pyarrow as pa
-
     columns = list(keep)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
         v = vocabulary(path, pattern)
+        sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in spans(values)], pa.string())
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                n, shas, decoded, arrays = [], [], [], []
-                texts = [x or "" for x in batch.column(len(columns)).to_pylist()]
-                for said in v.encode_all(texts):
-                    n.append(said.count(" ") + 1 if said else 0)
-                    shas.append(hashlib.sha256(said.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(v.decode(said)).hexdigest())
-                    if ids:
-                        arrays.append(list(map(int, said.split(" "))) if said else [])
-                out = [batch.column(k) for k in range(len(columns))] + [pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(arrays, pa.list_(pa.int32()))] * ids, names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+            for batch in cut_batches(whole, len(columns)):
+                offsets, found = v.encode_column(strings(batch.column(len(columns))))
+                out = [batch.column(k) for k in range(len(columns))] + [pa.array(np.diff(offsets)), sha(v.joined(offsets, found)), sha(v.decoded(offsets, found))]
+                arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))] * ids
+                yield pa.RecordBatch.from_arrays(out + arrays, names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
     return docs.select(*columns, F.col(text).cast("string").alias(OWN + "text")).mapInArrow(run, schema)
