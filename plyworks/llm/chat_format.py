@@ -4,10 +4,11 @@ Events have a conversation, a sequence number, a message number, a kind, a role
 text; `delta` appends to it; `edit` replaces what it says; `regenerate` drops it, and what follows builds the new one. A
 conversation's messages are ordered by their first event.
 
-Results for odd input: a null text or role counts as empty; events of one sequence number are ordered by role and text, and
-repeated `message` rows are turns of their own; a delta without a message starts one; an empty log gives an empty result. The
-rows of a long conversation are gathered in chunks of its sequence, so only the finished text, which is one value by its
-nature, meets in one row.
+Results for odd input: a null text or role counts as empty; events of one sequence number are ordered by role, text and kind;
+repeated `message` rows are turns of their own, while a repeated delta, the same in all columns, was delivered again and counts
+once; messages that begin at one number are ordered by role and text; a delta without a message starts one; an empty log gives
+an empty result. A log is dealt out once, by conversation. Conversations of over LONG events are folded message by message, and
+only their finished text, which is one value by its nature, meets in one row.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql.window import Window
 # The template's control strings.
 BEGIN, HEAD, BODY, END = "<s>", "[INST]", "[/INST]", "</s>"
 _CONTROL = r"(/?(?:s>|INST\]|SYS\]))"
-CHUNK = 256
+#: Events from which on a conversation isn't folded in one task, and the number of such conversations that are broadcast.
+LONG, BROADCAST = 2048, 100_000
 
 
 def escape(text: Column) -> Column:
@@ -34,7 +36,11 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """(conv_id, first_seq, msg, n, role, text), a row for each final message, from (conv_id, seq, msg, kind, role, text)."""
     e = events.select("conv_id", "seq", "msg", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id", "msg").orderBy("seq", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    sort = Window.partitionBy("conv_id", "msg").orderBy("seq", "role", "text", "kind")
+    order = sort.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag(F.struct("seq", "role", "text", "kind")).over(sort)
+    again = (F.col("kind") == "delta") & before.eqNullSafe(F.struct("seq", "role", "text", "kind"))
+    e = e.withColumn("again", again).withColumn("text", F.when(F.col("again"), "").otherwise(F.col("text"))).drop("again")
     fresh = F.col("kind").isin("message", "edit", "regenerate").cast("int")
     e = e.withColumns({"n": F.sum((F.col("kind") == "message").cast("int")).over(order), "version": F.sum(fresh).over(order), "at": F.count("*").over(order)})
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "")
@@ -46,11 +52,9 @@ def fold(events: DataFrame) -> DataFrame:
 
 def turns(messages: DataFrame) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>) in order."""
-    one = F.struct("first_seq", "msg", "n", "role", "text")
-    chunks = messages.groupBy("conv_id", F.floor(F.coalesce("first_seq", F.lit(0)) / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(one)).alias("part"))
-    whole = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("parts"))
-    flat = F.flatten(F.transform("parts", lambda x: x["part"]))
-    return whole.select("conv_id", F.transform(flat, lambda x: F.struct(x["role"], x["text"])).alias("turns"))
+    one = F.struct("first_seq", "role", "text", "msg", "n")
+    whole = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("found"))
+    return whole.select("conv_id", F.transform("found", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
 
 
 def render(conversations: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -73,6 +77,17 @@ def parse(formatted: DataFrame) -> DataFrame:
     return out.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), masked.alias("loss"))
 
 
+def reconstruct(events: DataFrame) -> DataFrame:
+    """(conv_id, turns) of a whole log."""
+    long = events.groupBy("conv_id").count().where((F.col("count") > LONG) & F.col("conv_id").isNotNull()).select("conv_id")
+    n = long.count()
+    if not n:
+        return turns(fold(events.repartition("conv_id")))
+    long = F.broadcast(long) if n <= BROADCAST else long
+    usual = turns(fold(events.join(long, "conv_id", "left_anti").repartition("conv_id")))
+    return usual.unionByName(turns(fold(events.join(long, "conv_id", "left_semi"))))
+
+
 def format_log(events: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """From an event log to (conv_id, formatted, loss_mask)."""
-    return render(turns(fold(events)), trained)
+    return render(reconstruct(events), trained)

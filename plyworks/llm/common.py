@@ -22,9 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir. A temporary one of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plyworks-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,6 +40,46 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes what materialize() wrote and df was read from; nothing may read it any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(file)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Rows of an array that are folded by one appended list.
+FOLD = 256
+
+
+def running(items: Column, step, kind: str) -> Column:
+    """array<kind> of what step(at, item) -> (next at, output) puts out along an array, at being 0 in the beginning; null outputs are left out.
+
+    Appending copies a list, so outputs are appended to short lists and these to a list of lists.
+    """
+    empty = lambda k: F.array().cast(f"array<{k}>")
+
+    def one(state: Column, item: Column) -> Column:
+        at, out = step(state["at"], item)
+        return F.struct(at.alias("at"), F.array_append(state["out"], out).alias("out"))
+
+    def along(whole: Column) -> Column:
+        def many(state: Column, k: Column) -> Column:
+            part = F.aggregate(F.slice(whole, k * FOLD + 1, F.lit(FOLD)), F.struct(state["at"].alias("at"), empty(kind).alias("out")), one)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.array_append(state["out"], F.array_compact(p["out"])).alias("out")))
+
+        last = F.greatest(F.ceil(F.size(whole) / FOLD).cast("int") - 1, F.lit(0))
+        start = F.struct(F.lit(0).alias("at"), empty(f"array<{kind}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, many, lambda s: F.flatten(s["out"]))
+
+    return let(items, along)
+
+
 def text_of(column: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")

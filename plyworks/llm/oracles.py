@@ -7,17 +7,6 @@ from plyworks.llm.quality_rules import STOP_WORDS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
-_OP1 = r"""
-WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-cut AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
-rules(h, p, rule, verdict) AS (VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'block'), ('example.net', '/de/8', 'example.net/de/8', 'allow'), ('org', '/es/', 'org/es/', 'block')),
-fits AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict FROM cut JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id),
-listed(h) AS (VALUES ('cheap-pills.example.com'), ('free-bets.example.com'), ('adult-x.example.net'), ('spam-farm.example.org')),
-bad AS (SELECT DISTINCT page_id FROM cut JOIN listed ON host = h OR host LIKE '%.' || h)
-SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN fits.verdict WHEN bad.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM cut LEFT JOIN fits USING (page_id) LEFT JOIN bad USING (page_id)"""
-
 _OP1_LISTS = r"""
 WITH parts AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 cut AS (SELECT page_id, rest IS NOT NULL AS whole, lower(coalesce(regexp_extract(rest, '^[^/?#]*'), '')) AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
@@ -78,10 +67,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(len({_ESC.format("role")}) + len({_ESC.format("text")}) + 20)::BIGINT AS formatted_chars FROM log GROUP BY conv_id"""
 
-_OP7 = rf"""
-WITH tidy AS (SELECT source, lang, trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS gone FROM documents),
-counted AS (SELECT source, lang, gone, coalesce(len(regexp_extract_all(t, {_WORD})), 0) AS words, coalesce(strlen(t), 0) AS bytes FROM tidy),
-each AS (SELECT source, lang, 'words/1' AS tokenizer, gone, words AS n FROM counted UNION ALL SELECT source, lang, 'bytes/1', gone, bytes FROM counted)
-SELECT source, lang, tokenizer, count(*) FILTER (NOT coalesce(gone, false)) AS documents, coalesce(sum(n) FILTER (NOT coalesce(gone, false)), 0)::BIGINT AS tokens FROM each GROUP BY source, lang, tokenizer"""
-
-SQL = {"op1_url_filters": _OP1, "op1_url_lists": _OP1_LISTS, "op3_quality_rules": _OP3, "op4_secret_scan": _op4(), "op5_chat_format": _OP5, "op7_token_rollup": _OP7}
+SQL = {"op1_url_lists": _OP1_LISTS, "op3_quality_rules": _OP3, "op4_secret_scan": _op4(), "op5_chat_format": _OP5}
