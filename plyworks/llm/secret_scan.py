@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyworks.llm.common import OWN, materialize, text_of
+from plyworks.llm.common import OWN, let, materialize, running, text_of
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,11 @@ MORE = (
 )
 #: A value held by so many owners, or by so many repositories, is a copied example.
 OWNERS, REPOSITORIES = 3, 8
+#: Characters of the parts in which places of a text are found.
+PART = 4096
+
+
+_SPAN = "struct<start:int,no:int,kind:string,end:int,value:string>"
 
 
 def spans_of(text: str, no: int, d: Detector) -> Column:
@@ -49,16 +54,14 @@ def spans_of(text: str, no: int, d: Detector) -> Column:
     found = F.regexp_extract_all(F.col(text), F.lit(d.pattern), F.lit(0))
     values = F.regexp_extract_all(F.col(text), F.lit(d.pattern), F.lit(d.group)) if d.group else found
     both = F.arrays_zip(F.split(F.col(text), d.pattern, -1).alias("gap"), found.alias("match"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,no:int,kind:string,end:int,value:string>>").alias("spans"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + F.length(x["gap"])
         end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
         span = F.struct(begin.alias("start"), F.lit(no).alias("no"), F.lit(d.kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= d.least, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        return end, F.when(F.length(x["value"]) >= d.least, span)
 
-    none = F.array().cast("array<struct<start:int,no:int,kind:string,end:int,value:string>>")
-    return F.when(F.col(text).rlike(d.pattern), F.aggregate(both, start, step, lambda s: s["spans"])).otherwise(none)
+    return F.when(F.col(text).rlike(d.pattern), running(both, step, _SPAN)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def find(docs: DataFrame, text: str = "text", detectors=BASE + MORE) -> DataFrame:
@@ -110,12 +113,19 @@ def redact(docs: DataFrame, repository: Column, owner: Column, text: str = "text
     """docs with each live-looking span replaced by the mark (touching spans share one); copied examples stay."""
     out = scan(docs, repository, owner, text, **how)
     live = F.filter(OWN + "spans", lambda s: ~s["copied"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # A span behind all others at the end of the text closes the list.
+    closed = F.array_append(F.transform(live, lambda s: F.struct(s["start"], s["end"], F.lit(mark).alias("mark"))), F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("mark")))
+
+    def redacted(parts: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            size = F.greatest(s["start"] - at, F.lit(0))
+            first = F.floor(at / PART).cast("int")
+            near = F.array_join(F.slice(parts, first + 1, F.floor((at + size) / PART).cast("int") - first + 1), "")
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.concat(F.substring(near, at - first * PART + 1, size), s["mark"]))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        new = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), new.alias("out"))
+        return F.array_join(running(closed, step, "string"), "")
 
-    clean = F.aggregate(live, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
+    # A place in a text is found by counting characters from its start, so it is cut into parts first.
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PART).cast("int")), lambda k: F.substring(F.col(text), k * PART + 1, F.lit(PART)))
+    clean = let(cut, redacted)
     return out.withColumn(text, F.when(F.size(live) > 0, clean).otherwise(F.col(text))).drop(OWN + "spans")
