@@ -38,9 +38,12 @@ UNEVEN = rf"[ \n]{WHITE}|{WHITE}[ \n]|^{WHITE}|{WHITE}$"
 class Vocabulary:
     """Ranks, and how each token was merged."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, share: float = 1):
+        """share: of the caches' bounds, for workers that hold other caches too."""
         import regex
 
+        self.share = share
+
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.split_text, self.cuts = regex.compile(pattern).findall, pattern == CUT_PATTERN
@@ -166,8 +169,8 @@ class Vocabulary:
         return self.pieces.of_lists(list(map(self._split_stretch, stretches)))
 
     def _bounded(self) -> None:
-        self.stretches.bound(STRETCHES)
-        self.pieces.bound(PIECES)
+        self.stretches.bound(int(STRETCHES * self.share))
+        self.pieces.bound(int(PIECES * self.share))
 
     def _uneven(self, texts: pa.Array) -> np.ndarray:
         return np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)) if self.cuts else np.arange(len(texts))
@@ -326,13 +329,13 @@ class PrefixTable:
         return unwind(self.vocabulary, self.last if length is None else self.last[: length + 1])
 
 
-def vocabulary(path: str, pattern: str) -> Vocabulary:
+def vocabulary(path: str, pattern: str, share: float = 1) -> Vocabulary:
     """The worker's copy, loaded once."""
     state = worker_state()
     held = state.__dict__.setdefault("vocabularies", {})
-    if (path, pattern) not in held:
-        held[path, pattern] = Vocabulary(path, pattern)
-    return held[path, pattern]
+    if (path, pattern, share) not in held:
+        held[path, pattern, share] = Vocabulary(path, pattern, share)
+    return held[path, pattern, share]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:

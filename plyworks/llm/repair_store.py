@@ -199,9 +199,12 @@ class WordEncoder:
     Letters go straight to its model; all other units go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, share: float = 1):
+        """share: of the cache's bound, for workers that hold other caches too."""
         import os
 
+        self.most = int(UNITS * share)
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -243,7 +246,7 @@ class WordEncoder:
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids) of a column of texts without nulls."""
-        self.units.bound(UNITS)
+        self.units.bound(self.most)
         marked = self._marked(texts)
         if not len(marked):
             return of_units(self.units, texts, lower=True)
@@ -256,7 +259,7 @@ class WordEncoder:
 
     def count_column(self, texts: pa.Array) -> np.ndarray:
         """The number of ids of each text."""
-        self.units.bound(UNITS)
+        self.units.bound(self.most)
         out, marked = sizes_of_units(self.units, texts, lower=True), self._marked(texts)
         if len(marked):
             out[marked] = list(map(len, self._ids(texts.take(pa.array(marked)).to_pylist())))
@@ -268,11 +271,11 @@ class WordEncoder:
         return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, share: float = 1) -> WordEncoder:
     held = worker_state().__dict__.setdefault("word_encoders", {})
-    if path not in held:
-        held[path] = WordEncoder(path)
-    return held[path]
+    if (path, share) not in held:
+        held[path, share] = WordEncoder(path, share)
+    return held[path, share]
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", shard_ids: int = SHARD_IDS) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A change inserts, deletes or revises a document; it adds its counts with a sign to the totals of its source, language and
 tokenizer version. Each batch is aggregated and committed under its name, once: it is written aside and renamed into place, and
-a name that is there already changes nothing, so batches can be sent again after a failure. Totals are the sum over batches.
+a name that is there already changes nothing, so batches can be sent again after a failure; with other changes it is an error.
+Totals are the sum over batches, which can be compacted.
 
 Results for odd input: null texts count nothing; a null source or language is a group of its own; a group whose counts have all
 been taken back shows zeros; an empty batch is committed and adds nothing. There must be one writer at a time.
@@ -13,13 +14,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyworks.llm.common import WORD
+from plyworks.llm.lexicon import pieces, strings
 
 KEYS = ("source", "lang", "tokenizer")
+#: Of the bounds of the tokenizers' caches, as one worker holds those of several.
+SHARE = 0.3
 SCHEMA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
 
@@ -33,9 +38,8 @@ def native_counters() -> dict[str, callable]:
 
 
 def tokenizer_counter(path: str):
-    """A counter for a file of the tokenizers library, for use beside the native ones."""
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    """A counter for any file of the tokenizers library: whole texts go through the whole tokenizer."""
+    def count(texts: pa.Array) -> np.ndarray:
         from tokenizers import Tokenizer
 
         from plyworks.llm.common import worker_state
@@ -43,36 +47,36 @@ def tokenizer_counter(path: str):
         held = worker_state().__dict__.setdefault("counters", {})
         if path not in held:
             held[path] = Tokenizer.from_file(path)
-        return pd.Series([len(x.ids) for x in held[path].encode_batch_fast(list(texts.fillna("")), add_special_tokens=False)])
+        return np.array([len(x.ids) for x in held[path].encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], dtype=np.int64)
 
-    return lambda text: count(text.cast("string"))
+    return _counter(count)
 
 
 def _counter(count):
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        said = texts.fillna("").tolist()
-        return pd.Series([n for i in range(0, len(said), 256) for n in count(said[i : i + 256])], dtype="int64")
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([strings(texts)], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(count(part.column(0)) for part in pieces(batch, 0))]))
 
     return lambda text: run(text.cast("string"))
 
 
 def word_counter(path: str):
     """A counter for a tokenizer file whose words never reach over a blank: each word is encoded once."""
-    def count(texts: list[str]) -> list[int]:
+    def count(texts: pa.Array) -> np.ndarray:
         from plyworks.llm.repair_store import word_encoder
 
-        return [len(x) // 4 for x in word_encoder(path).encode(texts)]
+        return word_encoder(path, SHARE).count_column(texts)
 
     return _counter(count)
 
 
 def byte_counter(path: str, pattern: str):
     """A counter for a file of byte-level ranks."""
-    def count(texts: list[str]) -> list[int]:
+    def count(texts: pa.Array) -> np.ndarray:
         from plyworks.llm.prefix_bpe import vocabulary
 
-        return [x.count(" ") + 1 if x else 0 for x in vocabulary(path, pattern).encode_all(texts)]
+        return vocabulary(path, pattern, SHARE).count_column(texts)
 
     return _counter(count)
 
@@ -90,8 +94,16 @@ def signed(changes: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("n")).cast("long").alias("tokens"))
 
 
+class OtherContent(ValueError):
+    """A batch's name was sent again with other changes."""
+
+
 class Rollups:
-    """Committed batches in a folder."""
+    """Committed batches in a folder.
+
+    A batch is a table of the folder batches/<name>, with the digest of its additions in its name's file in digests/. compact()
+    sums batches into one table of bases/<number>; the names it covers are listed in it, so that sent again they add nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -100,32 +112,84 @@ class Rollups:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(f"{self.path}/{folder}")
+        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
     def _place(self, batch: str) -> str:
-        if not batch or any(c in batch for c in "/\\.:"):
-            raise ValueError("a batch's name is one plain folder name")
+        if not batch or batch[0] == "_" or any(c in batch for c in "/\\.:"):
+            raise ValueError("a batch's name is one plain folder name, and doesn't start with _")
         return f"{self.path}/batches/{batch}"
 
+    def _base(self) -> tuple[str | None, dict[str, str]]:
+        """The newest base and the batches it holds, with their digests."""
+        found = self._names("bases")
+        if not found:
+            return None, {}
+        base = f"{self.path}/bases/{max(found, key=int)}"
+        return f"{base}/totals", {r["batch"]: r["digest"] for r in self.spark.read.schema("batch string, digest string").parquet(f"{base}/held").collect()}
+
+    def _digest(self, batch: str) -> str | None:
+        """The digest of a committed batch."""
+        held = self._base()[1]
+        if batch in held:
+            return held[batch]
+        place = self._place(batch)
+        fs, at = self._fs(place)
+        return self.spark.read.schema("digest string").parquet(f"{place}/digest").first()["digest"] if fs.exists(at) else None
+
     def committed(self, batch: str) -> bool:
-        fs, at = self._fs(self._place(batch))
-        return fs.exists(at)
+        self._place(batch)
+        return self._digest(batch) is not None
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Whether the batch was added now; False if it had been."""
-        if self.committed(batch):
-            return False
-        aside = f"{self.path}/aside/{uuid.uuid4().hex}"
-        signed(changes).coalesce(1).write.parquet(aside)
+    def _rename(self, aside: str, place: str) -> bool:
         fs, source = self._fs(aside)
-        place = self._fs(self._place(batch))[1]
-        fs.mkdirs(place.getParent())
-        if fs.exists(place) or not fs.rename(source, place):
+        to = self._fs(place)[1]
+        fs.mkdirs(to.getParent())
+        if fs.exists(to) or not fs.rename(source, to):
             fs.delete(source, True)
             return False
         return True
 
+    def commit(self, batch: str, changes: DataFrame) -> bool:
+        """Whether the batch was added now; False if it had been. The same name with other changes is an error.
+
+        Additions and their digest are written aside and renamed into place together, so a crash leaves all or nothing.
+        """
+        place, aside = self._place(batch), f"{self.path}/aside/{uuid.uuid4().hex}"
+        before = self._digest(batch)
+        signed(changes).write.parquet(f"{aside}/additions")
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{aside}/additions")
+        digest = "/".join(map(str, rows.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0))).first()))
+        if before is not None:
+            fs, at = self._fs(aside)
+            fs.delete(at, True)
+            if before != digest:
+                raise OtherContent(f"batch {batch!r} was committed with other changes")
+            return False
+        self.spark.range(1).select(F.lit(digest).alias("digest")).write.parquet(f"{aside}/digest")
+        return self._rename(aside, place)
+
+    def compact(self) -> int:
+        """Sums the newest base and all batches into a new base, and removes them; gives the number of batches summed."""
+        batches = self._names("batches")
+        if not batches:
+            return 0
+        held = self._base()[1] | {b: self._digest(b) for b in batches}
+        aside, number = f"{self.path}/aside/{uuid.uuid4().hex}", max(map(int, self._names("bases")), default=0) + 1
+        self.totals().write.parquet(f"{aside}/totals")
+        self.spark.createDataFrame(sorted(held.items()), "batch string, digest string").write.parquet(f"{aside}/held")
+        if not self._rename(aside, f"{self.path}/bases/{number}"):
+            return 0
+        # A crash from here on leaves batches behind that the new base holds; totals() passes over them.
+        for folder in (*(f"batches/{b}" for b in batches), *(f"bases/{n}" for n in self._names("bases") if int(n) < number)):
+            fs, at = self._fs(f"{self.path}/{folder}")
+            fs.delete(at, True)
+        return len(batches)
+
     def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, documents, tokens) over all committed batches."""
-        fs, at = self._fs(f"{self.path}/batches")
-        found = [str(x.getPath()) for x in fs.listStatus(at)] if fs.exists(at) else []
+        """(source, lang, tokenizer, documents, tokens) over the newest base and all batches that it doesn't hold."""
+        base, held = self._base()
+        found = [f"{self.path}/batches/{b}/additions" for b in self._names("batches") if b not in held] + ([base] if base else [])
         rows = self.spark.read.schema(SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
