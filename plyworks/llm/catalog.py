@@ -99,7 +99,7 @@ def op7_tokenizer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = {"word_bpe_49k/1": token_rollup.word_counter(p.path("word_bpe_49k.json")), "byte_bpe_50k/1": token_rollup.byte_counter(p.path("byte_bpe_50k.tiktoken"), p.PATTERN)}
     counters, revision = token_rollup.native_counters() | real, F.regexp_replace("text", r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    docs = token_rollup.counted(token_rollup.counted(docs, F.col("text"), counters, "first"), revision, counters, "revised").drop("text")
+    docs = token_rollup.counted_together(docs, {"first": F.col("text"), "revised": revision}, counters).drop("text")
     docs = materialize(docs, "token-counts")
     toxic = read_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     old, none = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang")], F.lit(None)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts that are encoded together: so many rows and bytes at most, but one text at least.
-ROWS, BYTES = 4096, 5 << 20
+ROWS, BYTES = 4096, 3 << 20
 
 
 class Ragged:

@@ -257,9 +257,10 @@ class WordEncoder:
         back = np.argsort(np.concatenate([plain, marked]))
         return gathered(np.concatenate([ids, np.array(list(chain.from_iterable(whole)), dtype=np.uint32)]), (np.cumsum(sizes) - sizes)[back], sizes[back])
 
-    def count_column(self, texts: pa.Array) -> np.ndarray:
-        """The number of ids of each text."""
-        self.units.bound(self.most)
+    def count_column(self, texts: pa.Array, bounded: bool = True) -> np.ndarray:
+        """The number of ids of each text. The cache's bound is looked at only if asked for."""
+        if bounded:
+            self.units.bound(self.most)
         out, marked = sizes_of_units(self.units, texts, lower=True), self._marked(texts)
         if len(marked):
             out[marked] = list(map(len, self._ids(texts.take(pa.array(marked)).to_pylist())))

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyworks.llm.common import WORD
+from plyworks.llm.common import OWN, WORD
 from plyworks.llm.lexicon import pieces, strings
 
 KEYS = ("source", "lang", "tokenizer")
 #: Of the bounds of the tokenizers' caches, as one worker holds those of several.
-SHARE = 0.3
+WORD_SHARE, BYTE_SHARE = 0.5, 1
 SCHEMA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
 
@@ -39,7 +39,7 @@ def native_counters() -> dict[str, callable]:
 
 def tokenizer_counter(path: str):
     """A counter for any file of the tokenizers library: whole texts go through the whole tokenizer."""
-    def count(texts: pa.Array) -> np.ndarray:
+    def count(texts: pa.Array, first: bool) -> np.ndarray:
         from tokenizers import Tokenizer
 
         from plyworks.llm.common import worker_state
@@ -53,34 +53,58 @@ def tokenizer_counter(path: str):
 
 
 def _counter(count):
+    """A function of a text column, with a member `together`: of several columns, to an array of their counts. count gets a column's part, and whether it is the first of its row's."""
+    def counts(texts: tuple[pa.Array, ...]) -> np.ndarray:
+        batch = pa.RecordBatch.from_arrays([strings(x) for x in texts], names=[str(i) for i in range(len(texts))])
+        parts = [np.stack([count(x, i == 0) for i, x in enumerate(part.columns)], axis=1) for part in pieces(batch, 0)]
+        return np.concatenate([np.zeros((0, len(texts)), np.int64), *parts])
+
     @F.arrow_udf("long")
-    def run(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([strings(texts)], names=["text"])
-        return pa.array(np.concatenate([np.zeros(0, np.int64), *(count(part.column(0)) for part in pieces(batch, 0))]))
+    def one(texts: pa.Array) -> pa.Array:
+        return pa.array(counts((texts,))[:, 0])
+
+    @F.arrow_udf("array<long>")
+    def many(*texts: pa.Array) -> pa.Array:
+        found = counts(texts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(texts), pa.int32()), pa.array(found.ravel()))
+
+    def counter(text: Column) -> Column:
+        return one(text.cast("string"))
 
-    return lambda text: run(text.cast("string"))
+    counter.together = lambda *texts: many(*(x.cast("string") for x in texts))
+    return counter
 
 
 def word_counter(path: str):
     """A counter for a tokenizer file whose words never reach over a blank: each word is encoded once."""
-    def count(texts: pa.Array) -> np.ndarray:
+    def count(texts: pa.Array, first: bool) -> np.ndarray:
         from plyworks.llm.repair_store import word_encoder
 
-        return word_encoder(path, SHARE).count_column(texts)
+        return word_encoder(path, WORD_SHARE).count_column(texts, first)
 
     return _counter(count)
 
 
 def byte_counter(path: str, pattern: str):
     """A counter for a file of byte-level ranks."""
-    def count(texts: pa.Array) -> np.ndarray:
+    def count(texts: pa.Array, first: bool) -> np.ndarray:
         from plyworks.llm.prefix_bpe import vocabulary
 
-        return vocabulary(path, pattern, SHARE).count_column(texts)
+        return vocabulary(path, pattern, BYTE_SHARE).count_column(texts, first)
 
     return _counter(count)
 
 
+def counted_together(docs: DataFrame, texts: Mapping[str, Column], counters: Mapping[str, callable]) -> DataFrame:
+    """docs with a map<tokenizer, tokens> of each name in texts; a tokenizer sees the texts of a row together, so that what they share is looked up once."""
+    all_of = {k: f.together(*texts.values()) for k, f in counters.items() if hasattr(f, "together")}
+    docs = docs.withColumns({f"{OWN}{i}": c for i, c in enumerate(all_of.values())})
+    place = {k: f"{OWN}{i}" for i, k in enumerate(all_of)}
+    said = lambda k, f, n, text: F.get(place[k], F.lit(n)) if k in place else f(text)
+    docs = docs.withColumns({name: F.create_map(*(x for k, f in counters.items() for x in (F.lit(k), said(k, f, n, text)))) for n, (name, text) in enumerate(texts.items())})
+    return docs.drop(*place.values())
+
+
 def counted(docs: DataFrame, text: Column, counters: Mapping[str, callable], name: str) -> DataFrame:
     """docs with a map<tokenizer, tokens> of that name."""
     return docs.withColumn(name, F.create_map(*(x for k, f in counters.items() for x in (F.lit(k), f(text)))))
