@@ -40,14 +40,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes what materialize() wrote and df was read from; nothing may read it any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(file)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once however often the body mentions it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

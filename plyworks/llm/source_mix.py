@@ -24,8 +24,10 @@ from plyworks.llm.common import OWN, materialize, n_words_of, text_of
 WEIGHTS, PASSES, SEED = (5, 2, 1), 3, 20261
 #: Costs of the passes are convex: with another pass, a later repetition never replaces an earlier one.
 COSTS = (0, 1, 3)
-#: Patterns are the only thing that reaches the driver. More of them are an error, not a cut.
-MAX_PATTERNS = 50_000
+#: Patterns are the only thing that reaches the driver, and are what its memory must hold. More of them are an error, not a cut.
+MAX_PATTERNS = 1_000_000
+#: Rows of the plan that are broadcast; a larger plan is joined by shuffles.
+BROADCAST_ROWS = 50_000
 HASH_BITS, DIGIT = 60, 12
 #: Rounds in which each pattern may take one more document that fits its gap.
 FILLS = 4
@@ -51,7 +53,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, pa
 
 def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str | None, int], costs: tuple[int, ...] = COSTS) -> dict[tuple[int, str | None], int]:
     """The words that pattern i gives to source s, of least total repetition cost: successive shortest paths."""
-    sources = list(quotas)
+    sources = {s: k for k, s in enumerate(quotas)}
     n, first = 2 + len(patterns) + len(sources), 2 + len(patterns)
     heads: list[list[int]] = [[] for _ in range(n)]
     to, room, cost = [], [], []
@@ -70,8 +72,8 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str |
             arc(0, 2 + i, words, price)
         for s in dict.fromkeys(members):
             if s in quotas:
-                given[i, s] = arc(2 + i, first + sources.index(s), words * len(costs), 0)
-    for k, s in enumerate(sources):
+                given[i, s] = arc(2 + i, first + sources[s], words * len(costs), 0)
+    for s, k in sources.items():
         arc(first + k, 1, quotas[s], 0)
     while True:
         far, via, queue, queued = [None] * n, [-1] * n, deque([0]), [False] * n
@@ -98,6 +100,35 @@ def route(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str |
     return {key: room[e + 1] for key, e in given.items() if room[e + 1]}
 
 
+def routed(patterns: list[tuple[tuple[str | None, ...], int]], quotas: dict[str | None, int], costs: tuple[int, ...] = COSTS) -> dict[tuple[int, str | None], int]:
+    """route(), with the network of each set of sources that patterns tie together by itself. A source that shares no pattern takes what its own has, pass by pass."""
+    root = {s: s for s in quotas}
+
+    def of(s):
+        while root[s] != s:
+            root[s] = s = root[root[s]]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            root[of(s)] = of(members[0])
+    nets: dict[str | None, list[int]] = {}
+    for i, (members, _) in enumerate(patterns):
+        if members:
+            nets.setdefault(of(members[0]), []).append(i)
+    out = {}
+    for some in nets.values():
+        if len(some) == 1 and len(patterns[some[0]][0]) == 1:
+            (s,), words = patterns[some[0]]
+            if amount := min(quotas[s], words * len(costs)):
+                out[some[0], s] = amount
+            continue
+        own = dict.fromkeys(s for i in some for s in patterns[i][0])
+        for (i, s), amount in route([patterns[i] for i in some], {s: quotas[s] for s in own}, costs).items():
+            out[some[i], s] = amount
+    return out
+
+
 def sized(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """(doc_id, pattern, size, hash): what the mix needs of each row, written once."""
     pattern = F.array_sort(F.array_distinct(sources))
@@ -120,7 +151,7 @@ class Plan:
             for s in members:
                 self.sizes[s] = self.sizes.get(s, 0) + words
         self.targets = targets(self.sizes)
-        self.flow = route(self.patterns, {s: round(t) for s, t in self.targets.items()})
+        self.flow = routed(self.patterns, {s: round(t) for s, t in self.targets.items()})
         #: pattern number, source, whole passes, words of the last pass; in the order of the intervals.
         self.cuts: list[dict] = []
         for i, (members, words) in enumerate(self.patterns):
@@ -136,9 +167,10 @@ class Plan:
     def table(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
-    def numbered(self) -> DataFrame:
-        """(pattern, p), of bounded size."""
-        return F.broadcast(self.table([(list(m), i) for i, (m, _) in enumerate(self.patterns)], "pattern array<string>, p int"))
+    def bounded(self, rows: list[tuple], schema: str) -> DataFrame:
+        """table(), to be broadcast up to a number of rows."""
+        out = self.table(rows, schema)
+        return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
 
     def _thresholds(self, rows: DataFrame) -> None:
         for c in self.cuts:
@@ -148,7 +180,7 @@ class Plan:
             if not open_cuts:
                 break
             left = HASH_BITS - level * DIGIT
-            now = F.broadcast(self.table([(k, list(self.patterns[self.cuts[k]["p"]][0]), self.cuts[k]["prefix"], self.cuts[k]["gap"]) for k in open_cuts], "k int, pattern array<string>, prefix bigint, gap bigint"))
+            now = self.bounded([(k, list(self.patterns[self.cuts[k]["p"]][0]), self.cuts[k]["prefix"], self.cuts[k]["gap"]) for k in open_cuts], "k int, pattern array<string>, prefix bigint, gap bigint")
             digit = F.shiftright(F.col("hash"), left)
             inside = rows.join(now, rows["pattern"].eqNullSafe(now["pattern"]) & (F.shiftright(digit, DIGIT) == F.col("prefix")))
             cells = inside.groupBy("k", "gap", digit.alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
@@ -169,7 +201,7 @@ class Plan:
             now = [(k, list(self.patterns[c["p"]][0]), c["threshold"], c["gap"], self.extra.get(k, [])) for k, c in enumerate(self.cuts) if c["last"] and c["gap"] > 0]
             if not now:
                 break
-            cuts = F.broadcast(self.table(now, "k int, pattern array<string>, threshold bigint, gap bigint, extra array<bigint>"))
+            cuts = self.bounded(now, "k int, pattern array<string>, threshold bigint, gap bigint, extra array<bigint>")
             left = rows.join(cuts, rows["pattern"].eqNullSafe(cuts["pattern"])).where("hash >= threshold and size > 0 and not array_contains(extra, hash)")
             one = F.struct("size", "hash")
             best = F.min(F.when(F.col("size").between(F.col("gap") + 1, 2 * F.col("gap") - 1), one)) if last else F.max(F.when(F.col("size") <= F.col("gap"), one))
@@ -185,7 +217,7 @@ class Plan:
             passes, threshold = before.get(c["p"], (0, 0))
             out.append((list(self.patterns[c["p"]][0]), c["source"], c["passes"], c["threshold"], passes, threshold, self.extra.get(k, [])))
             before[c["p"]] = (c["passes"], c["threshold"])
-        cuts = F.broadcast(self.table(out, f"{OWN}pattern array<string>, {OWN}source string, {OWN}passes bigint, {OWN}threshold bigint, {OWN}passes0 bigint, {OWN}threshold0 bigint, {OWN}extra array<bigint>"))
+        cuts = self.bounded(out, f"{OWN}pattern array<string>, {OWN}source string, {OWN}passes bigint, {OWN}threshold bigint, {OWN}passes0 bigint, {OWN}threshold0 bigint, {OWN}extra array<bigint>")
         c = lambda x: F.col(OWN + x)
         upto = lambda n: c("passes" + n) + (F.col("hash") < c("threshold" + n)).cast("long")
         extra = F.array_contains(c("extra"), F.col("hash")).cast("long")
