@@ -6,6 +6,7 @@ text are then gathered by array operations.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -148,12 +149,20 @@ def sizes_of_units(lexicon: Lexicon, texts: pa.Array, lower: bool = False) -> np
     return summed(lexicon.table.sizes[rows], offsets)
 
 
-def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives memory that nothing uses back to the system: a worker that has done its task stays, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pieces(batch: pa.RecordBatch, text: int, most: int = BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of bounded rows and bytes of the text column, one row at least."""
     sizes = np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False), nan=0).astype(np.int64)
     upto, at = np.cumsum(sizes), 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, side="right"))
+        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right"))
         to = min(max(to, at + 1), at + ROWS)
         yield batch.slice(at, to - at)
         at = to

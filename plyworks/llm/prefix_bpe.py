@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyworks.llm.common import OWN, worker_state
-from plyworks.llm.lexicon import Lexicon, Ragged, gathered, of_units, sizes_of_units, spans, strings
+from plyworks.llm.lexicon import Lexicon, Ragged, gathered, of_units, release, sizes_of_units, spans, strings
 from plyworks.llm.lexicon import pieces as cut_batches
 
 #: Bounds of a worker's caches; what doesn't fit is computed again.
 PIECES, STRETCHES, PAIRS, LONGEST_CACHED = 250_000, 350_000, 400_000, 64
+#: What encode_documents() takes of them, and the bytes of texts it encodes together.
+DOCUMENTS_SHARE, DOCUMENTS_BYTES = 0.5, 1 << 20
 #: Slots of the table in which pairs of tokens are looked up by whole arrays, as a power of two, and pieces that share an array.
 SLOTS, TOGETHER = 20, 8192
 # Fixed value: the pattern for which texts may be cut in front of single blanks and line ends, and between letters and marks.
@@ -71,7 +73,7 @@ class Vocabulary:
         self.pieces, self.stretches = Lexicon(self._learn_pieces), Lexicon(self._learn_stretches)
 
     def _trie(self) -> None:
-        """Transitions by state and byte, and the token that a state spells or -1. State 0 is dead, 1 the root."""
+        """Transitions by state and byte, and the token that a state spells or -1. State 0 is dead, 1 the root; states without transitions come last and share a row."""
         nodes: dict[tuple[int, int], int] = {}
         ends = {}
         for token, rank in self.ranks.items():
@@ -79,11 +81,16 @@ class Vocabulary:
             for byte in token:
                 at = nodes.setdefault((at, byte), len(nodes) + 2)
             ends[at] = rank
-        self.next = np.zeros((len(nodes) + 2, 256), dtype=np.int32)
         edges = np.array([(a, b, c) for (a, b), c in nodes.items()])
-        self.next[edges[:, 0], edges[:, 1]] = edges[:, 2]
-        self.spelt = np.full(len(nodes) + 2, -1, dtype=np.int32)
-        self.spelt[list(ends)] = list(ends.values())
+        inner = np.zeros(len(nodes) + 2, dtype=bool)
+        inner[[0, 1]] = inner[edges[:, 0]] = True
+        self.inner = int(inner.sum())
+        number = np.empty(len(inner), dtype=np.int32)
+        number[np.argsort(~inner, kind="stable")] = np.arange(len(inner))
+        self.next = np.zeros((self.inner + 1, 256), dtype=np.int32)
+        self.next[number[edges[:, 0]], edges[:, 1]] = number[edges[:, 2]]
+        self.spelt = np.full(len(inner), -1, dtype=np.int32)
+        self.spelt[number[list(ends)]] = list(ends.values())
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """may_follow() of whole arrays: a table of slots first, each distinct pair that isn't in its slot by itself."""
@@ -109,7 +116,7 @@ class Vocabulary:
         last = np.zeros((len(pieces), width + 1), dtype=np.int32)
         for at in range(1, width + 1):
             n = int(np.searchsorted(-lengths, -at, side="right"))
-            now = states[:n, :at] = self.next[states[:n, :at], data[:n, at - 1, None]]
+            now = states[:n, :at] = self.next[np.minimum(states[:n, :at], self.inner), data[:n, at - 1, None]]
             token = self.spelt[now]
             row, start = np.nonzero(token >= 0)
             token = token[row, start]
@@ -345,13 +352,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
-        v = vocabulary(path, pattern)
+        v = vocabulary(path, pattern, DOCUMENTS_SHARE)
         sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in spans(values)], pa.string())
         for whole in batches:
-            for batch in cut_batches(whole, len(columns)):
+            for batch in cut_batches(whole, len(columns), DOCUMENTS_BYTES):
                 offsets, found = v.encode_column(strings(batch.column(len(columns))))
                 out = [batch.column(k) for k in range(len(columns))] + [pa.array(np.diff(offsets)), sha(v.joined(offsets, found)), sha(v.decoded(offsets, found))]
                 arrays = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found, pa.int32()))] * ids
                 yield pa.RecordBatch.from_arrays(out + arrays, names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+            release()
 
     return docs.select(*columns, F.col(text).cast("string").alias(OWN + "text")).mapInArrow(run, schema)
