@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from plyworks.llm.lexicon import Lexicon, Ragged, gathered, of_units, release, s
 from plyworks.llm.lexicon import pieces as cut_batches
 
 #: Bounds of a worker's caches; what doesn't fit is computed again.
-PIECES, STRETCHES, PAIRS, LONGEST_CACHED = 250_000, 350_000, 400_000, 64
+PIECES, STRETCHES, PAIRS, LONGEST_CACHED = 250_000, 350_000, 50_000, 64
 #: What encode_documents() takes of them, and the bytes of texts it encodes together.
 DOCUMENTS_SHARE, DOCUMENTS_BYTES = 0.5, 1 << 20
 #: Slots of the table in which pairs of tokens are looked up by whole arrays, as a power of two, and pieces that share an array.
@@ -50,20 +51,24 @@ class Vocabulary:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.split_text, self.cuts = regex.compile(pattern).findall, pattern == CUT_PATTERN
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
-        self.bytes_of_text = {str(rank): token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.by_last: dict[int, list[int]] = {}
         lengths: dict[int, set[int]] = {}
         for token in self.ranks:
             lengths.setdefault(token[-1], set()).add(len(token))
         self.by_last = {byte: sorted(found, reverse=True) for byte, found in lengths.items()}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.merged: dict[tuple[int, int], int] = {}
-        for token, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
+        # Of each token the two whose merge makes it, -1 for single bytes, and the token that two make, by one number of both.
+        self.first_part, self.second_part = np.full((2, max(self.bytes_of) + 1), -1, dtype=np.int32)
+        self.merged: dict[int, int] = {}
+        for token, rank in self.ranks.items():
             if len(token) > 1:
-                self.parts[rank] = pair = self._last_merge(token)
-                self.merged[pair] = rank
-        self.valid: dict[tuple[int, int], bool] = {}
+                first, second = self._last_merge(token)
+                self.first_part[rank], self.second_part[rank] = first, second
+                self.merged[first << 32 | second] = rank
+        self.parts = array("i", self.first_part.tolist()), array("i", self.second_part.tolist())
+        merged = np.array(sorted(self.merged.items()), dtype=np.int64).reshape(-1, 2)
+        self.merge_keys, self.merge_ranks = np.append(merged[:, 0], 1 << 62), np.append(merged[:, 1], -1)
+        self.valid: dict[int, bool] = {}
         self._trie()
         self.slot_keys = np.full(1 << SLOTS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         self.slot_fits = np.zeros(1 << SLOTS, dtype=bool)
@@ -73,27 +78,36 @@ class Vocabulary:
         self.pieces, self.stretches = Lexicon(self._learn_pieces), Lexicon(self._learn_stretches)
 
     def _trie(self) -> None:
-        """Transitions by state and byte, and the token that a state spells or -1. State 0 is dead, 1 the root; states without transitions come last and share a row."""
-        nodes: dict[tuple[int, int], int] = {}
-        ends = {}
-        for token, rank in self.ranks.items():
-            at = 1
-            for byte in token:
-                at = nodes.setdefault((at, byte), len(nodes) + 2)
-            ends[at] = rank
-        edges = np.array([(a, b, c) for (a, b), c in nodes.items()])
-        inner = np.zeros(len(nodes) + 2, dtype=bool)
-        inner[[0, 1]] = inner[edges[:, 0]] = True
-        self.inner = int(inner.sum())
-        number = np.empty(len(inner), dtype=np.int32)
-        number[np.argsort(~inner, kind="stable")] = np.arange(len(inner))
-        self.next = np.zeros((self.inner + 1, 256), dtype=np.int32)
-        self.next[number[edges[:, 0]], edges[:, 1]] = number[edges[:, 2]]
-        self.spelt = np.full(len(inner), -1, dtype=np.int32)
-        self.spelt[number[list(ends)]] = list(ends.values())
+        """What each state spells, or -1, and its transitions. State 0 is dead, 1 the root.
+
+        Most states have one transition, held as a byte and a state; those with more have a row of 256, the others share row 0.
+        """
+        tokens = sorted(self.ranks)
+        sizes = np.array([len(x) for x in tokens])
+        data = np.frombuffer(b"".join(x.ljust(self.longest, b"\0") for x in tokens), np.uint8).reshape(len(tokens), self.longest)
+        shared = np.append(0, np.minimum(np.logical_and.accumulate(data[1:] == data[:-1], axis=1).sum(axis=1), sizes[:-1]))
+        # In order, a token's prefixes that are longer than what it shares with the token before it are new states.
+        depth = np.arange(1, self.longest + 1)
+        row, at = np.nonzero((depth > shared[:, None]) & (depth <= sizes[:, None]))
+        states = np.zeros((len(tokens), self.longest), dtype=np.int32)
+        states[row, at] = child = np.arange(2, len(row) + 2, dtype=np.int32)
+        np.maximum.accumulate(states, axis=0, out=states)
+        parent, byte = np.where(at > 0, states[row, at - 1], 1), data[row, at]
+        self.spelt = np.full(len(row) + 2, -1, dtype=np.int32)
+        self.spelt[states[np.arange(len(tokens)), sizes - 1]] = [self.ranks[x] for x in tokens]
+        children = np.bincount(parent, minlength=len(row) + 2)
+        one = children[parent] == 1
+        self.only_byte, self.only_next = np.full(len(children), -1, dtype=np.int16), np.zeros(len(children), dtype=np.int32)
+        self.only_byte[parent[one]], self.only_next[parent[one]] = byte[one], child[one]
+        self.row = np.where(children > 1, np.cumsum(children > 1), 0).astype(np.int32)
+        self.next = np.zeros((int(self.row.max()) + 1, 256), dtype=np.int32)
+        self.next[self.row[parent[~one]], byte[~one]] = child[~one]
+
+    def _step(self, states: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return np.where(self.only_byte[states] == byte, self.only_next[states], self.next[self.row[states], byte])
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """may_follow() of whole arrays: a table of slots first, each distinct pair that isn't in its slot by itself."""
+        """may_follow() of whole arrays: a table of slots first, then the distinct pairs that aren't in their slots."""
         keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
         slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
         slots = slot(keys)
@@ -101,12 +115,28 @@ class Vocabulary:
         missing = np.flatnonzero(self.slot_keys[slots] != keys)
         if len(missing):
             new, back = np.unique(keys[missing], return_inverse=True)
-            fits = np.array([self.may_follow(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()])
+            fits = self._follows((new >> np.uint64(32)).astype(np.int64), (new & np.uint64(0xFFFFFFFF)).astype(np.int64))
             out[missing] = fits[back]
             slots, first = np.unique(slot(new), return_index=True)
             self.slot_keys[slots], self.slot_fits[slots] = new[first], fits[first]
         return out
 
+    def _follows(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """may_follow() of whole arrays, worked out for all pairs together."""
+        out, at, bound = np.ones(len(left), dtype=bool), np.arange(len(left)), np.full(len(left), 1 << 60)
+        while len(at):
+            keys = left << 32 | right
+            place = np.searchsorted(self.merge_keys, keys)
+            crossed = (self.merge_keys[place] == keys) & (self.merge_ranks[place] < bound)
+            out[at[crossed]] = False
+            undo_left, undo_right = self.second_part[left], self.first_part[right]
+            by_left = (undo_right < 0) | ((undo_left >= 0) & (left > right))
+            going = ~crossed & ((undo_left >= 0) | (undo_right >= 0))
+            bound = np.where(by_left, left, right + 1)[going]
+            left, right = np.where(by_left, undo_left, left)[going].astype(np.int64), np.where(by_left, right, undo_right)[going].astype(np.int64)
+            at = at[going]
+        return out
+
     def last_tokens(self, pieces: list[bytes]) -> np.ndarray:
         """extend() for every prefix of many pieces, the longest first, at once: a row for each, column n for the prefix of n bytes."""
         lengths = np.array([len(x) for x in pieces])
@@ -116,7 +146,7 @@ class Vocabulary:
         last = np.zeros((len(pieces), width + 1), dtype=np.int32)
         for at in range(1, width + 1):
             n = int(np.searchsorted(-lengths, -at, side="right"))
-            now = states[:n, :at] = self.next[np.minimum(states[:n, :at], self.inner), data[:n, at - 1, None]]
+            now = states[:n, :at] = self._step(states[:n, :at], data[:n, at - 1, None])
             token = self.spelt[now]
             row, start = np.nonzero(token >= 0)
             token = token[row, start]
@@ -237,24 +267,24 @@ class Vocabulary:
         Both are undone merge by merge, the later merge first. Some undone pair of right end and left end that would itself have
         been merged before the merge undone last shows that the boundary would have been crossed.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.valid.get(key)
         if known is not None:
             return known
-        merged, parts, bound, out = self.merged, self.parts, 1 << 60, True
+        merged, (first, second), bound, out = self.merged, self.parts, 1 << 60, True
         while True:
-            across = merged.get((left, right))
+            across = merged.get(left << 32 | right)
             if across is not None and across < bound:
                 out = False
                 break
-            undo_left, undo_right = parts.get(left), parts.get(right)
-            if undo_left is None and undo_right is None:
+            undo_left, undo_right = second[left], first[right]
+            if undo_left < 0 and undo_right < 0:
                 break
             # At equal ranks the one on the left was merged first, so the right one is undone first, and its bound includes its rank.
-            if undo_right is None or (undo_left is not None and left > right):
-                bound, left = left, undo_left[1]
+            if undo_right < 0 or (undo_left >= 0 and left > right):
+                bound, left = left, undo_left
             else:
-                bound, right = right + 1, undo_right[0]
+                bound, right = right + 1, undo_right
         if len(self.valid) < PAIRS:
             self.valid[key] = out
         return out
@@ -279,7 +309,7 @@ class Vocabulary:
                 if token is not None:
                     if not start:
                         break
-                    fits = valid((last[start], token))
+                    fits = valid(last[start] << 32 | token)
                     if follows(last[start], token) if fits is None else fits:
                         break
             else:
@@ -292,7 +322,7 @@ class Vocabulary:
         return self.encode_all([text])[0]
 
     def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.bytes_of_text.__getitem__, ids.split(" "))) if ids else b""
+        return b"".join(self.bytes_of[int(k)] for k in ids.split(" ")) if ids else b""
 
 
 def unwind(vocabulary: Vocabulary, last: list[int]) -> list[int]:
@@ -343,6 +373,7 @@ def vocabulary(path: str, pattern: str, share: float = 1) -> Vocabulary:
     held = state.__dict__.setdefault("vocabularies", {})
     if (path, pattern, share) not in held:
         held[path, pattern, share] = Vocabulary(path, pattern, share)
+        release()
     return held[path, pattern, share]
 
 
