@@ -1,35 +1,48 @@
-"""Near-dedup by the Jaccard similarity of the sets of words that follow each other.
+"""Near-dedup by the Jaccard similarity of the sets of words that follow each other, with candidates by SimHash and anchor points.
 
-A text's set is that of its runs of five words, as 64-bit hashes. Minima of the set under many permutations are banded: two sets
-of similarity 0.8 share a band but for one pair in 300,000. The rows of a band carry 64 bits, one of each of as many minima, and
-those within SLACK bits are linked as candidates; at 0.8, 6.4 bits differ on average and over SLACK for one pair in 10,000.
-Each group of candidates then meets with its whole sets, and the similarity itself decides every link.
+A text's set is that of its runs of five words, as 64-bit hashes, and its SimHash has WORDS times 64 bits. Two sets of similarity
+0.8 have a cosine of 8 / 9 and so differ in 15.2% of these bits. Anchors are the words of a perfect Hamming code of 15 bits in
+segments of the fingerprint. In each segment a fingerprint has one home, within the covering radius of 1, and is replicated to all
+anchors within 2, so two that differ in one bit of the segment at most meet at the home of either; a pair at 0.8 does so in 31% of
+segments, and the number of segments makes that fail for all of them at once in MISS of cases. In larger tables segments have free
+bits too, in which both have to agree, so that anchors stay small, and there are more segments. Fingerprints that meet are
+linked as candidates within SLACK of 128 bits (19.4 on average at 0.8, over 36 for one pair in 30,000). Each group of candidates
+then meets with its whole sets, and the similarity itself decides every link.
 
 Results for odd input: null, empty and blank texts have one set, the empty one, and are linked with each other only; a text of
 less than five words has one run, of all its words; repeated rows share their component; null ids never name a component unless
-all its ids are null; an empty table gives an empty result.
+all its ids are null; an empty table gives an empty result. Sets of less than about 20 runs have coarser fingerprints, and pairs
+of them are missed somewhat more often.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyworks.llm.common import OWN, materialize
 from plyworks.llm.lexicon import release
-from plyworks.llm.simhash_dedup import SEED, components, keep_first, links
+from plyworks.llm.simhash_dedup import SEED, Segment, _flips, _syndrome, components, keep_first, links
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SLACK = 32, 5, 16
-#: Bits beyond which two sets of a group aren't compared: over 20 differ for one pair of similarity 0.8 in a million.
-FAR = 20
-#: Hashes that are permuted at once, for very long texts.
+#: 64-bit words of a fingerprint, and the share of them that differ at SIMILARITY.
+WORDS, DIFFER = 5, math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+#: Candidates differ in so many of their first 128 bits at most.
+SLACK = 36
+#: The code of a segment, pairs that meet nowhere, homes of an anchor, and segments that are replicated at a time.
+CODE, MISS, HOMES, TOGETHER = Segment(0, 15, 1, 1), 4e-4, 128, 11
+#: Minima by which the sets of a group are told apart before they are compared; at 0.8 fewer agree for one pair in a million.
+MINIMA, AGREE = 160, 102
+#: Hashes that are permuted or turned into bits at once, for very long texts.
 BLOCK = 1 << 13
 
 _rng = np.random.default_rng(SEED)
-_XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_FACTOR = _rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64)
+_FACTOR = _rng.integers(0, 1 << 64, MINIMA, dtype=np.uint64) | np.uint64(1)
+_FAMILIES = _rng.integers(0, 1 << 64, WORDS, dtype=np.uint64)
 
 
 def shingles(text: bytes | str | None, size: int = SHINGLE) -> np.ndarray:
@@ -51,58 +64,116 @@ def shingles(text: bytes | str | None, size: int = SHINGLE) -> np.ndarray:
 
 def minima(found: np.ndarray) -> np.ndarray:
     """The least hash of a set under each permutation."""
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    out = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(found), BLOCK):
         out = np.minimum(out, ((found[i : i + BLOCK][None, :] ^ _XOR[:, None]) * _FACTOR[:, None]).min(axis=1))
     return out
 
 
-def sketch(least: np.ndarray) -> tuple[np.ndarray, int]:
-    """(bands, bits) of the minima."""
-    import xxhash
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits of each hash."""
+    x = hashes[:, None] ^ _FAMILIES[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
 
-    rows = least.reshape(BANDS, ROWS)
-    bands = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), dtype=np.uint64, count=BANDS)
-    return bands, int(np.packbits((least[:64] >> np.uint64(20) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, as WORDS words. Bits that are set in just half of the hashes are those of the least hash."""
+    if not len(found):
+        return np.zeros(WORDS, dtype=np.uint64)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    for i in range(0, len(found), BLOCK):
+        ones += _bits(found[i : i + BLOCK]).sum(axis=0, dtype=np.uint16)
+    ones = 2 * ones + _bits(found[:1])[0] > len(found)
+    return np.packbits(ones, bitorder="little").view("<u8")
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, fp, bands, grams) from (doc_id, text): equal sets have equal `same`."""
-    import pyarrow as pa
 
-    names = ["doc_id", "same", "fp", "bands", "grams"]
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, same, fp, words) from (doc_id, text): equal sets have equal `same`, words are the bytes of the fingerprint, fp the first of them."""
+    import pyarrow as pa
 
     def run(batches):
         import xxhash
 
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                same, bits, bands, grams = [], [], [], []
-                for text in batch.column(1):
-                    found = shingles(text.as_py())
-                    raw = found.tobytes()
-                    band, bit = sketch(minima(found))
-                    same.append(xxhash.xxh3_128_digest(raw))
-                    bits.append(bit)
-                    bands.append(band.view(np.int64))
-                    grams.append(raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(bits, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(grams, pa.binary())], names=names)
+        for batch in batches:
+            same, fp, words = [], [], []
+            for text in batch.column(1):
+                found = shingles(text.as_py())
+                same.append(xxhash.xxh3_128_digest(found.tobytes()))
+                bits = fingerprint(found)
+                fp.append(bits[0])
+                words.append(bits.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(words, pa.binary())], names=["doc_id", "same", "fp", "words"])
         release()
 
-    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias(OWN + "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same binary, fp bigint, bands array<bigint>, grams binary")
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias(OWN + "text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, same binary, fp bigint, words binary")
+
 
+def segments(distinct: int) -> list[np.ndarray]:
+    """The bits of each segment for so many fingerprints: 15 of the code, then the free ones."""
+    free = min(max(0, math.ceil(math.log2(max(distinct, 1) / (HOMES << 11)))), 22)
+    near = sum(math.comb(CODE.width, k) * DIFFER**k * (1 - DIFFER) ** (CODE.width - k) for k in range(CODE.threshold + 1))
+    number = math.ceil(math.log(MISS) / math.log1p(-near * (1 - DIFFER) ** free))
+    width, out, rng = CODE.width + free, [], np.random.default_rng(SEED)
+    order = np.arange(64 * WORDS)
+    while len(out) < number:
+        out += [order[i : i + width] for i in range(0, len(order) - width + 1, width)]
+        order = rng.permutation(64 * WORDS)
+    return out[:number]
 
-def similar(fps: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
+
+def replicate(distinct: DataFrame, parts: list[np.ndarray]) -> DataFrame:
+    """(anchor, fp, more, home) from (words): a row for the home and each replica in every segment."""
+    import pyarrow as pa
+
+    def run(batches):
+        masks, homes = _flips(CODE)
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            bits, words = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64), raw.view("<u8").view(np.int64)
+            for no, columns in enumerate(parts):
+                values = bits[:, columns] @ (1 << np.arange(len(columns)))
+                which = _syndrome(values.view(np.uint64), 1)
+                for s in range(16):
+                    rows = np.flatnonzero(which == s)
+                    if not len(rows):
+                        continue
+                    anchors = values[rows][:, None] ^ masks[s].view(np.int64)[None, :] | no << 40
+                    n = anchors.shape[1]
+                    home = np.broadcast_to(masks[s] == homes[s], anchors.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel()), pa.array(np.repeat(words[rows, 0], n)), pa.array(np.repeat(words[rows, 1], n)), pa.array(home.ravel())], names=["anchor", "fp", "more", "home"])
+
+    return distinct.select("words").mapInArrow(run, "anchor bigint, fp bigint, more bigint, home boolean")
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b): stars of linked first words, from (words). Segments are dealt with some at a time, so that only their replicas are on disk."""
+    found, parts = [], segments(distinct.count())
+    for i in range(0, len(parts), TOGETHER):
+        found.append(materialize(links(replicate(distinct, parts[i : i + TOGETHER]), SLACK), "jaccard-links"))
+        # Spark deletes the files of a shuffle when the driver's garbage is collected.
+        distinct.sparkSession.sparkContext._jvm.System.gc()
+    out = found[0]
+    for other in found[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+def similar(grams: list[np.ndarray]) -> np.ndarray:
     """Of each set of a group the place of the first one in its component. A set is compared with those no component has reached."""
     root, left = np.arange(len(grams)), np.arange(len(grams))
     sizes = np.array([len(g) for g in grams], dtype=np.int64)
+    least = np.array([minima(g) for g in grams]) if len(grams) > 2 else None
     while len(left):
         first, left, queue = left[0], left[1:], [left[0]]
         while queue and len(left):
             at = queue.pop()
             n = sizes[left]
-            may = (np.bitwise_count(fps[left] ^ fps[at]) <= FAR) & (np.minimum(n, sizes[at]) >= SIMILARITY * np.maximum(n, sizes[at]))
+            may = np.minimum(n, sizes[at]) >= SIMILARITY * np.maximum(n, sizes[at])
+            if least is not None:
+                may[may] = (least[left[may]] == least[at]).sum(axis=1) >= AGREE
             near = np.zeros(len(left), dtype=bool)
             mine = grams[at]
             for k in np.flatnonzero(may).tolist():
@@ -119,44 +190,50 @@ def similar(fps: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
 
 
 def _grouped(groups: DataFrame) -> DataFrame:
-    """(same, first) of the sets in (root, same, fp, grams) that another one of their group is similar to; first is the `same` that names the component."""
+    """(same, first) of the sets in (root, same, text) that another one of their group is similar to; first is the `same` that names the component."""
     import pyarrow as pa
 
     def run(batches):
+        import xxhash
+
         def out(held):
-            same = [x[0] for x in held]
-            root = similar(np.array([x[1] for x in held], dtype=np.int64).view(np.uint64), [np.frombuffer(x[2], "<u8") for x in held])
+            same = list(held)
+            root = similar(list(held.values()))
             yield pa.RecordBatch.from_arrays([pa.array(same, pa.binary()), pa.array([same[k] for k in root.tolist()], pa.binary())], names=["same", "first"])
 
-        held, of = [], None
+        held, of = {}, None
         for batch in batches:
-            for root, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for root, same, text in zip(*(batch.column(i) for i in range(3))):
+                root, same = root.as_py(), same.as_py()
                 if held and root != of:
                     yield from out(held)
-                    held = []
+                    held = {}
                 of = root
-                held.append(row)
+                if same not in held:
+                    found = shingles(text.as_py())
+                    # A repeated id may come with another text, which isn't the one that carries the set.
+                    if xxhash.xxh3_128_digest(found.tobytes()) == same:
+                        held[same] = found
         if held:
             yield from out(held)
-        held = []
+        held = {}
         release()
 
-    return groups.select("root", "same", "fp", "grams").repartition("root").sortWithinPartitions("root", "same").mapInArrow(run, "same binary, first binary")
+    return groups.select("root", "same", "text").repartition("root").sortWithinPartitions("root", "same").mapInArrow(run, "same binary, first binary")
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of each row."""
-    rows = materialize(sets(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "jaccard-sets")
-    distinct = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "jaccard-distinct")
-    # Equal bits are one node, whatever their sets: candidates only.
-    banded = rows.select(F.explode("bands").alias("anchor"), "fp").distinct().select("anchor", "fp", F.lit(True).alias("home"))
-    roots = components(links(banded, SLACK), "jaccard-links")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("same", "fp", "least", F.coalesce("root", "fp").alias("root"))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
+    rows = materialize(sketches(docs), "jaccard-sketches")
+    distinct = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("words").alias("words")), "jaccard-distinct")
+    # Equal first words are one node, whatever their sets: candidates only.
+    roots = components(candidates(distinct.select("words").distinct()), "jaccard-links")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("same", "least", F.coalesce("root", "fp").alias("root"))
     many = rooted.groupBy("root").count().where("count > 1").select("root")
     rooted = materialize(rooted.join(many, "root", "left_semi"), "jaccard-groups")
-    # Of rows with equal sets the least id's carries the set.
-    named = rooted.select(F.col("same").alias(OWN + "same"), F.col("least"), F.col("root"))
-    carried = rows.join(named, (F.col("same") == F.col(OWN + "same")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("same").agg(F.first("root").alias("root"), F.first("fp").alias("fp"), F.first("grams").alias("grams"))
+    # Of rows with equal sets the least id's carries the set; its words are read again rather than stored.
+    carried = docs.join(rooted, docs["doc_id"].eqNullSafe(rooted["least"])).select("root", "same", "text")
     found = materialize(_grouped(carried), "jaccard-found")
     named = distinct.join(found, "same", "left").select("same", "least", F.coalesce("first", "same").alias("first"))
     least = named.groupBy("first").agg(F.min("least").alias("component_id"))

@@ -160,19 +160,30 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PAIRS, WALK = 1 << 21, 4 << 20
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which fingerprints differ. They are numbers, or rows of two."""
+    bits = np.bitwise_count(x ^ y)
+    return bits if bits.ndim == 1 else bits[:, 0] + bits[:, 1]
+
+
+def _node(x: np.ndarray) -> np.ndarray:
+    """What fingerprints are linked by: themselves, or the first number of each row."""
+    return x if x.ndim == 1 else x[:, 0]
+
+
 def _walk(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """The spanning forest of a large anchor: every fingerprint is compared only with those no component has reached yet."""
     left, a, b = fps, [], []
     while len(left):
         root, left, queue = left[0], left[1:], [left[0]]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= distance
+            near = _apart(left, queue.pop()) <= distance
             if near.any():
                 found = left[near]
                 left = left[~near]
                 queue.extend(found)
-                a.append(found)
-                b.append(np.full(len(found), root))
+                a.append(_node(found))
+                b.append(np.full(len(found), root if fps.ndim == 1 else root[0]))
     none = np.zeros(0, dtype=np.uint64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
@@ -186,7 +197,7 @@ def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: in
     large = homes * sizes > WALK
     for g in np.flatnonzero(large):
         part = fps[starts[g] : starts[g] + sizes[g]]
-        yield _walk(np.unique(part), distance)
+        yield _walk(np.unique(part, axis=0), distance)
     rows = np.flatnonzero(home & ~large[group] & (sizes[group] > 1))
     costs = np.cumsum(sizes[group[rows]])
     at = 0
@@ -197,16 +208,22 @@ def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: in
         left = np.repeat(part, n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[group[part]], n)
         x, y = fps[left], fps[right]
-        near = (np.bitwise_count(x ^ y) <= distance) & (x != y)
-        if near.any():
-            yield forest(x[near], y[near])
+        near = np.flatnonzero(_apart(x, y) <= distance)
+        x, y = _node(x[near]), _node(y[near])
+        if (x != y).any():
+            yield forest(x[x != y], y[x != y])
         at = to
 
 
 def links(replicas: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): stars of linked fingerprints, from replicas; every link within an anchor lies in one star."""
+    """(a, b): stars of linked fingerprints, from replicas; every link within an anchor lies in one star.
+
+    Replicas may have a second word of their fingerprints, `more`; links are then those of the first words.
+    """
     import pyarrow as pa
 
+    columns = ["anchor", *[c for c in ("fp", "more") if c in replicas.columns], "home"]
+
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         names = ["a", "b"]
@@ -222,8 +239,8 @@ def links(replicas: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, fps, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            held.append((anchor, fps.view(np.uint64), home))
+            anchor, *fps, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns)))
+            held.append((anchor, (fps[0] if len(fps) == 1 else np.stack(fps, axis=1)).view(np.uint64), home))
             last = np.searchsorted(anchor, anchor[-1])
             if anchor[0] == anchor[-1] or sum(len(x[0]) for x in held) < 1 << 17:
                 continue
@@ -234,7 +251,7 @@ def links(replicas: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield from out(joined())
 
-    return replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a bigint, b bigint")
+    return replicas.select(columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
