@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyworks.llm.common import OWN, materialize
+from plyworks.llm.common import OWN, forget, materialize, small_batches
 from plyworks.llm.lexicon import release
 from plyworks.llm.simhash_dedup import SEED, Segment, _flips, _syndrome, components, keep_first, links
 
@@ -97,6 +97,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches):
         import xxhash
 
+        forget()
         for batch in batches:
             same, fp, words = [], [], []
             for text in batch.column(1):
@@ -224,6 +225,7 @@ def _grouped(groups: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of each row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     rows = materialize(sketches(docs), "jaccard-sketches")
     distinct = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("words").alias("words")), "jaccard-distinct")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyworks.llm.common import OWN, worker_state
+from plyworks.llm.common import OWN, small_batches, worker_state
 from plyworks.llm.lexicon import Lexicon, Ragged, gathered, of_units, release, sizes_of_units, spans, strings
 from plyworks.llm.lexicon import pieces as cut_batches
 
@@ -379,6 +379,7 @@ def vocabulary(path: str, pattern: str, share: float = 1) -> Vocabulary:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
     """The columns in keep with n_tokens, ids_sha256 and decoded_sha256 of the bytes the ids decode to, and ids array<int> if asked for."""
+    small_batches(docs.sparkSession)
     columns = list(keep)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 

@@ -200,9 +200,9 @@ def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: in
         yield _walk(np.unique(part, axis=0), distance)
     rows = np.flatnonzero(home & ~large[group] & (sizes[group] > 1))
     costs = np.cumsum(sizes[group[rows]])
-    at = 0
+    at, most = 0, PAIRS if fps.ndim == 1 else PAIRS >> 3
     while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(costs, (costs[at - 1] if at else 0) + PAIRS, side="right")))
+        to = max(at + 1, int(np.searchsorted(costs, (costs[at - 1] if at else 0) + most, side="right")))
         part = rows[at:to]
         n = sizes[group[part]]
         left = np.repeat(part, n)
