@@ -297,6 +297,9 @@ def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> Dat
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(OWN + "gone")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(OWN + "again"))
     left = docs.join(gone, F.col(doc_id) == F.col(OWN + "gone"), "left_anti")
+    # Without repeated ids one join moves the texts, not four.
+    if again.isEmpty():
+        return left
     once = left.join(again, F.col(doc_id) == F.col(OWN + "again"), "left_anti")
     return once.unionByName(left.join(again, F.col(doc_id) == F.col(OWN + "again"), "left_semi").dropDuplicates([doc_id]))
 
