@@ -3,11 +3,13 @@
 A text's set is that of its runs of five words, as 64-bit hashes, and its SimHash has WORDS times 64 bits. Two sets of similarity
 0.8 have a cosine of 8 / 9 and so differ in 15.2% of these bits. Anchors are the words of a perfect Hamming code of 15 bits in
 segments of the fingerprint. In each segment a fingerprint has one home, within the covering radius of 1, and is replicated to all
-anchors within 2, so two that differ in one bit of the segment at most meet at the home of either; a pair at 0.8 does so in 31% of
-segments, and the number of segments makes that fail for all of them at once in MISS of cases. In larger tables segments have free
-bits too, in which both have to agree, so that anchors stay small, and there are more segments. Fingerprints that meet are
-linked as candidates within SLACK of 128 bits (19.4 on average at 0.8, over 36 for one pair in 30,000). Each group of candidates
-then meets with its whole sets, and the similarity itself decides every link.
+anchors within 2, so two that differ in one bit of the segment at most meet at the home of either; as one of these meetings is
+enough, replicas go to anchors below the home only. A pair at 0.8 is that close in 31% of segments, and the number of segments
+makes that fail for all of them at once in MISS of cases. In larger tables segments have free bits too, in which both have to
+agree, so that anchors stay small, and there are more segments. Fingerprints that meet are linked as candidates within SLACK of
+128 bits (19.4 on average at 0.8, over 36 for one pair in 30,000). The first few segments link most of a group; in the others
+only what these have not linked yet is. Each group of candidates then meets with its whole sets, and the similarity itself
+decides every link.
 
 Results for odd input: null, empty and blank texts have one set, the empty one, and are linked with each other only; a text of
 less than five words has one run, of all its words; repeated rows share their component; null ids never name a component unless
@@ -23,17 +25,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyworks.llm import simhash_dedup
 from plyworks.llm.common import OWN, forget, materialize, small_batches
 from plyworks.llm.lexicon import release
-from plyworks.llm.simhash_dedup import SEED, Segment, _flips, _syndrome, components, keep_first, links
+from plyworks.llm.simhash_dedup import SEED, Segment, _flips, _syndrome, components, keep_first, links, possible
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a fingerprint, and the share of them that differ at SIMILARITY.
 WORDS, DIFFER = 5, math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 #: Candidates differ in so many of their first 128 bits at most.
 SLACK = 36
-#: The code of a segment, pairs that meet nowhere, homes of an anchor, and segments that are replicated at a time.
-CODE, MISS, HOMES, TOGETHER = Segment(0, 15, 1, 1), 4e-4, 128, 11
+#: The code of a segment, pairs that meet nowhere, homes of an anchor, and segments that are replicated at a time, at first and later.
+CODE, MISS, HOMES, FIRST, TOGETHER = Segment(0, 15, 1, 1), 1e-4, 128, 3, 11
 #: Minima by which the sets of a group are told apart before they are compared; at 0.8 fewer agree for one pair in a million.
 MINIMA, AGREE = 160, 102
 #: Hashes that are permuted or turned into bits at once, for very long texts.
@@ -125,16 +128,23 @@ def segments(distinct: int) -> list[np.ndarray]:
     return out[:number]
 
 
-def replicate(distinct: DataFrame, parts: list[np.ndarray]) -> DataFrame:
-    """(anchor, fp, more, home) from (words): a row for the home and each replica in every segment."""
+def replicate(distinct: DataFrame, parts: list[np.ndarray], below: bool = False, at: int = 0) -> DataFrame:
+    """(anchor, fp, more, home) from (words): a row for the home and each replica in every segment. A root is passed on.
+
+    With below only replicas at anchors below the home: of two homes that could meet the other's row, the lesser does. The parts
+    are the segments from number `at` on.
+    """
     import pyarrow as pa
 
+    rooted = ["root"] if "root" in distinct.columns else []
+
     def run(batches):
         masks, homes = _flips(CODE)
         for batch in batches:
             raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
             bits, words = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64), raw.view("<u8").view(np.int64)
-            for no, columns in enumerate(parts):
+            roots = [batch.column(1).to_numpy(zero_copy_only=False) for _ in rooted]
+            for no, columns in enumerate(parts, at):
                 values = bits[:, columns] @ (1 << np.arange(len(columns)))
                 which = _syndrome(values.view(np.uint64), 1)
                 for s in range(16):
@@ -142,23 +152,29 @@ def replicate(distinct: DataFrame, parts: list[np.ndarray]) -> DataFrame:
                     if not len(rows):
                         continue
                     anchors = values[rows][:, None] ^ masks[s].view(np.int64)[None, :] | no << 40
-                    n = anchors.shape[1]
                     home = np.broadcast_to(masks[s] == homes[s], anchors.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchors.ravel()), pa.array(np.repeat(words[rows, 0], n)), pa.array(np.repeat(words[rows, 1], n)), pa.array(home.ravel())], names=["anchor", "fp", "more", "home"])
+                    which_row, column = np.nonzero(anchors <= anchors[home][:, None]) if below else map(np.ravel, np.indices(anchors.shape))
+                    of = rows[which_row]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchors[which_row, column]), pa.array(words[of, 0]), pa.array(words[of, 1]), pa.array(home[which_row, column]), *(pa.array(r[of]) for r in roots)], names=["anchor", "fp", "more", "home", *rooted])
 
-    return distinct.select("words").mapInArrow(run, "anchor bigint, fp bigint, more bigint, home boolean")
+    return distinct.select("words", *rooted).mapInArrow(run, "anchor bigint, fp bigint, more bigint, home boolean" + ", root bigint" * len(rooted))
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b): stars of linked first words, from (words). Segments are dealt with some at a time, so that only their replicas are on disk."""
-    found, parts = [], segments(distinct.count())
-    for i in range(0, len(parts), TOGETHER):
-        found.append(materialize(links(replicate(distinct, parts[i : i + TOGETHER]), SLACK), "jaccard-links"))
+    """(a, b): links of first words, or of roots of such, from (fp, words). Segments are dealt with some at a time, so that only their replicas are on disk."""
+    parts = segments(distinct.count())
+
+    def linked(rows: DataFrame, start: int, end: int) -> DataFrame:
+        found = materialize(links(replicate(rows, parts[start:end], True, start), SLACK), "jaccard-links")
         # Spark deletes the files of a shuffle when the driver's garbage is collected.
-        distinct.sparkSession.sparkContext._jvm.System.gc()
-    out = found[0]
-    for other in found[1:]:
-        out = out.unionByName(other)
+        rows.sparkSession.sparkContext._jvm.System.gc()
+        return found
+
+    roots = components(linked(distinct, 0, FIRST), "jaccard-first")
+    rooted = materialize(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("words", F.coalesce("root", "fp").alias("root")), "jaccard-rooted")
+    out = roots.toDF("a", "b")
+    for i in range(FIRST, len(parts), TOGETHER):
+        out = out.unionByName(linked(rooted, i, i + TOGETHER))
     return out
 
 
@@ -230,12 +246,14 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     rows = materialize(sketches(docs), "jaccard-sketches")
     distinct = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("words").alias("words")), "jaccard-distinct")
     # Equal first words are one node, whatever their sets: candidates only.
-    roots = components(candidates(distinct.select("words").distinct()), "jaccard-links")
+    roots = components(candidates(materialize(distinct.select("fp", "words").distinct(), "jaccard-words")), "jaccard-links")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("same", "least", F.coalesce("root", "fp").alias("root"))
     many = rooted.groupBy("root").count().where("count > 1").select("root")
     rooted = materialize(rooted.join(many, "root", "left_semi"), "jaccard-groups")
     # Of rows with equal sets the least id's carries the set; its words are read again rather than stored.
-    carried = docs.join(rooted, docs["doc_id"].eqNullSafe(rooted["least"])).select("root", "same", "text")
+    few = rooted.count() <= simhash_dedup.FEW
+    near = docs if few else possible(docs, "doc_id", rooted.select("least"))
+    carried = near.join(F.broadcast(rooted) if few else rooted, near["doc_id"].eqNullSafe(rooted["least"])).select("root", "same", "text")
     found = materialize(_grouped(carried), "jaccard-found")
     named = distinct.join(found, "same", "left").select("same", "least", F.coalesce("first", "same").alias("first"))
     least = named.groupBy("first").agg(F.min("least").alias("component_id"))

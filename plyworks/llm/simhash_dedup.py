@@ -13,14 +13,16 @@ fingerprint and component; null ids never name a component unless all its ids ar
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyworks.llm.common import OWN, materialize
+from plyworks.llm.url_filters import _bits, _block, blocks_for, bloom_filter
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Hashes that are turned into bits at once, for very long texts.
@@ -171,33 +173,36 @@ def _node(x: np.ndarray) -> np.ndarray:
     return x if x.ndim == 1 else x[:, 0]
 
 
-def _walk(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(fps: np.ndarray, distance: int, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The spanning forest of a large anchor: every fingerprint is compared only with those no component has reached yet."""
-    left, a, b = fps, [], []
+    left, names, a, b = fps, _node(fps) if nodes is None else nodes, [], []
     while len(left):
-        root, left, queue = left[0], left[1:], [left[0]]
+        root, left, names, queue = names[0], left[1:], names[1:], [left[0]]
         while queue and len(left):
             near = _apart(left, queue.pop()) <= distance
             if near.any():
-                found = left[near]
-                left = left[~near]
-                queue.extend(found)
-                a.append(_node(found))
-                b.append(np.full(len(found), root if fps.ndim == 1 else root[0]))
+                queue.extend(left[near])
+                a.append(names[near])
+                b.append(np.full(len(a[-1]), root))
+                left, names = left[~near], names[~near]
     none = np.zeros(0, dtype=np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    a, b = (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return (a, b) if nodes is None or not (a != b).any() else forest(a[a != b], b[a != b])
 
 
-def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int):
-    """Links within whole anchors; rows are sorted by anchor. Homes are compared with all rows of their anchor."""
+def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: int, nodes: np.ndarray | None = None):
+    """Links within whole anchors; rows are sorted by anchor. Homes are compared with all rows of their anchor.
+
+    nodes has what each row is linked by, else fingerprints are linked themselves.
+    """
     starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     sizes = np.diff(np.append(starts, len(anchor)))
     group = np.repeat(np.arange(len(starts)), sizes)
     homes = np.bincount(group[home], minlength=len(starts))
     large = homes * sizes > WALK
     for g in np.flatnonzero(large):
-        part = fps[starts[g] : starts[g] + sizes[g]]
-        yield _walk(np.unique(part, axis=0), distance)
+        part, first = np.unique(fps[starts[g] : starts[g] + sizes[g]], axis=0, return_index=True)
+        yield _walk(part, distance, None if nodes is None else nodes[starts[g] + first])
     rows = np.flatnonzero(home & ~large[group] & (sizes[group] > 1))
     costs = np.cumsum(sizes[group[rows]])
     at, most = 0, PAIRS if fps.ndim == 1 else PAIRS >> 3
@@ -209,7 +214,7 @@ def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: in
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[group[part]], n)
         x, y = fps[left], fps[right]
         near = np.flatnonzero(_apart(x, y) <= distance)
-        x, y = _node(x[near]), _node(y[near])
+        x, y = (_node(x[near]), _node(y[near])) if nodes is None else (nodes[left[near]], nodes[right[near]])
         if (x != y).any():
             yield forest(x[x != y], y[x != y])
         at = to
@@ -218,18 +223,19 @@ def _compare(anchor: np.ndarray, fps: np.ndarray, home: np.ndarray, distance: in
 def links(replicas: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(a, b): stars of linked fingerprints, from replicas; every link within an anchor lies in one star.
 
-    Replicas may have a second word of their fingerprints, `more`; links are then those of the first words.
+    Replicas may have a second word of their fingerprints, `more`; links are then those of the first words. They may have a
+    `root` of earlier links: then roots are linked, so that nothing is said again of rows that have the same one.
     """
     import pyarrow as pa
 
-    columns = ["anchor", *[c for c in ("fp", "more") if c in replicas.columns], "home"]
+    columns = ["anchor", *[c for c in ("fp", "more") if c in replicas.columns], "home", *[c for c in ("root",) if c in replicas.columns]]
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
         names = ["a", "b"]
 
         def out(rows):
-            for a, b in _compare(*rows, distance):
+            for a, b in _compare(*rows[:3], distance, *rows[3:]):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=names)
 
@@ -239,8 +245,9 @@ def links(replicas: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, *fps, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns)))
-            held.append((anchor, (fps[0] if len(fps) == 1 else np.stack(fps, axis=1)).view(np.uint64), home))
+            found = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(columns)}
+            anchor, fps = found["anchor"], found["fp"] if "more" not in found else np.stack([found["fp"], found["more"]], axis=1)
+            held.append((anchor, fps.view(np.uint64), found["home"], *[found[c].view(np.uint64) for c in ("root",) if c in found]))
             last = np.searchsorted(anchor, anchor[-1])
             if anchor[0] == anchor[-1] or sum(len(x[0]) for x in held) < 1 << 17:
                 continue
@@ -291,12 +298,28 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance:
     return rows.join(named, OWN + "fp").select("doc_id", OWN + "fp", "component_id")
 
 
+#: Rows of ids that are broadcast to the texts. Beyond it texts meet a Bloom filter of the ids, and what it lets through alone is shuffled.
+FEW = 1 << 18
+
+
+def possible(docs: DataFrame, key: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs that a Bloom filter of the one column of keys lets through: all whose key is there, and few others. With left_anti the rest."""
+    n = blocks_for(keys.count())
+    table = F.broadcast(bloom_filter(keys.toDF("key"), n))
+    hit = [F.col(f"{OWN}w{i}").bitwiseAND(bit) != 0 for i, bit in enumerate(_bits(F.col(key)))]
+    return docs.join(table, reduce(and_, hit, _block(F.col(key), n) == F.col(OWN + "block")), how)
+
+
 def keep_first(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Of docs the rows that keep_one keeps, where found has the (doc_id, component_id) of each row."""
     found = materialize(found, "dedup-found")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(OWN + "gone")).distinct()
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(OWN + "again"))
-    left = docs.join(gone, F.col(doc_id) == F.col(OWN + "gone"), "left_anti")
+    those = F.col(doc_id) == F.col(OWN + "gone")
+    if gone.count() <= FEW:
+        left = docs.join(F.broadcast(gone), those, "left_anti")
+    else:
+        left = possible(docs, doc_id, gone, "left_anti").unionByName(possible(docs, doc_id, gone).join(gone, those, "left_anti"))
     # Without repeated ids one join moves the texts, not four.
     if again.isEmpty():
         return left
