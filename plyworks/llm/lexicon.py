@@ -132,7 +132,8 @@ def units(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
 
 def _rows(lexicon: Lexicon, found: pa.Array) -> np.ndarray:
     coded = found.dictionary_encode()
-    return lexicon.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    # By numpy, as Arrow's own to_pylist() makes a scalar of each string first.
+    return lexicon.rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
 
 
 def of_units(lexicon: Lexicon, texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -70,40 +70,38 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     top, at = base, np.arange(max(0, len(ids) - 1))
     while True:
         keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        # In a run of one symbol its pair counts, and is taken, at every other place.
-        counted = np.ones(len(at), dtype=bool)
-        same = np.flatnonzero(seq[at] == seq[at + 1])
-        counted[same[_places(at[same]) % 2 == 1]] = False
         slot = _slots(keys)
-        often = np.bincount(slot[counted], minlength=1 << SLOTS)[slot] >= LEAST_COUNT
-        at, keys, slot, counted = at[often], keys[often], slot[often], counted[often]
-        ordered = np.sort(keys[counted])
+        often = np.flatnonzero(np.bincount(slot, minlength=1 << SLOTS)[slot] >= LEAST_COUNT)
+        at, keys, slot = at[often], keys[often], slot[often]
+        # In a run of one symbol its pair counts, and is taken, at every other place.
+        same = np.flatnonzero(keys >> np.uint64(32) == keys & np.uint64(0xFFFFFFFF))
+        passed = same[_places(at[same]) % 2 == 1]
+        ordered = np.sort(np.delete(keys, passed))
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
         counts = np.diff(np.append(starts, len(ordered)))
         often = counts >= LEAST_COUNT
         if not often.any():
             break
         chosen = _independent(ordered[starts[often]], counts[often])
-        rule = np.full(1 << SLOTS, -1, dtype=np.int64)
+        rule = np.full(1 << SLOTS, -1, dtype=np.int32)
         rule[_slots(chosen)] = np.arange(len(chosen))
         which = rule[slot]
-        hit = counted & (which >= 0) & (chosen[which] == keys)
+        which[passed] = -1
+        hit = np.flatnonzero(which >= 0)
+        hit = hit[chosen[which[hit]] == keys[hit]]
         place, which = at[hit], which[hit]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         seq[place] = (top + which).astype(np.uint32)
         top += len(chosen)
-        touched = np.zeros(len(seq) + 1, dtype=bool)
-        touched[place] = touched[place + 1] = True
-        keep = np.ones(len(seq), dtype=bool)
-        keep[place + 1] = False
-        now = np.cumsum(keep) - 1
-        seq = seq[keep]
-        mark = np.zeros(len(seq) + 1, dtype=bool)
-        mark[now[at[~(touched[at] | touched[at + 1])]]] = True
-        new = now[place]
-        mark[new] = mark[new - 1] = True
-        # The last symbol begins no pair; neither does what stands before the first.
-        at = np.flatnonzero(mark[: max(0, len(seq) - 1)])
+        # One place more than there are symbols: what stands before the first.
+        gone, mark = np.zeros(len(seq) + 1, dtype=bool), np.zeros(len(seq) + 1, dtype=bool)
+        gone[place + 1] = True
+        mark[at] = True
+        mark[place - 1 - gone[place - 1]] = True
+        left = np.flatnonzero(~gone[:-1])
+        seq = seq[left]
+        # The last symbol begins no pair.
+        at = np.flatnonzero(mark[left[:-1]])
     return seq, np.concatenate(rules)
 
 
